@@ -49,25 +49,24 @@ def skyline(candidates: DataFrame, by: list[str], first: str, second: str, key:
     return front.select(*by, first, (-F.col("c.back")).alias(second), F.col("c.key").alias(key), F.row_number().over(order).alias("rank"))
 
 
-def _property(obj: Column, name: str) -> Column:
-    keys = F.filter(F.array_sort(F.map_keys(obj)), lambda k: F.lower(k) == name)
-    return F.try_element_at(obj, F.get(keys, F.lit(0))).cast("string")
+def with_snapshot_fields(rows: DataFrame, snapshot: str, names: list[str]) -> DataFrame:
+    """``rows`` whose ``snapshot`` holds an object, with its named properties as texts.
 
-
-def snapshot_fields(snapshot: Column, names: list[str]) -> Column:
-    """Struct of the named properties (texts) of a snapshot; null if it is no complete JSON or holds no object.
-
-    The object may be the snapshot, be held one level down, or either of these may be written as a JSON text. The
-    object that has any of the names (in any letter case) counts; one level down, the first by name of its holder.
+    A snapshot that is no complete JSON, or holds no object, drops its row. The object may be the snapshot, be held one
+    level down, or either of these may be written as a JSON text. The object that has any of the names (in any letter
+    case) counts; one level down, the first by name of its holder. Each step is a projection of its own: a parsed value
+    is used more than once, and the optimizer keeps such steps apart.
     """
+    listed = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(F.lower(k).alias("k"), F.try_element_at(m, k).alias("v")))
+    known = lambda e: F.exists(e, lambda x: x["k"].isin(names))
     as_map = lambda v: v.try_cast("map<string,variant>")
-    known = lambda m: F.exists(F.map_keys(m), lambda k: F.lower(k).isin(names))
-    outer = F.try_parse_json(snapshot)
-    value = F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(outer.try_cast("string"))).otherwise(outer)
-    top = as_map(value)
-    inner = F.get(F.filter(F.transform(F.array_sort(F.map_keys(top)), lambda k: as_map(F.try_element_at(top, k))), lambda m: m.isNotNull() & known(m)), F.lit(0))
-    chosen = F.when(known(top), top).otherwise(inner)
-    return F.when(chosen.isNotNull(), F.struct(*[_property(chosen, n).alias(n) for n in names]))
+    text = F.ltrim(F.col(snapshot)).startswith('"')
+    parsed = rows.withColumn("_o", F.try_parse_json(snapshot)).withColumn("_t", F.when(text, F.try_parse_json(F.col("_o").try_cast("string"))).otherwise(F.col("_o")))
+    top = parsed.withColumn("_m", as_map(F.col("_t"))).where("_m is not null").withColumn("_e", listed(F.col("_m")))
+    inner = F.get(F.filter(F.transform("_e", lambda x: listed(as_map(x["v"]))), lambda e: F.coalesce(known(e), F.lit(False))), F.lit(0))
+    chosen = top.withColumn("_c", F.when(known(F.col("_e")), F.col("_e")).otherwise(inner)).where("_c is not null")
+    field = lambda n: F.get(F.filter("_c", lambda x: x["k"] == n), F.lit(0))["v"].cast("string")
+    return chosen.withColumns({n: field(n) for n in names}).drop("_o", "_t", "_m", "_e", "_c")
 
 
 def merge_candidates(undo: DataFrame, trust: DataFrame) -> DataFrame:
@@ -76,12 +75,12 @@ def merge_candidates(undo: DataFrame, trust: DataFrame) -> DataFrame:
     summary goes by its letters and digits, name by time alone, entity_type by the trust in the snapshot's source;
     a source that isn't listed comes last. Rows with a blank source or target take no part.
     """
-    names = ["name", "summary", "entity_type", "updated_at", "source_description", "uuid", "group_id", "created_at"]
+    names = ["name", "summary", "entity_type", "updated_at", "source_description", "uuid", "created_at"]
     rows = undo.select(key_form(F.col("target_node_uuid")).alias("group_key"), key_form(F.col("source_node_uuid")).alias("winner_key"), "source_node_snapshot").where("group_key is not null and winner_key is not null")
     several = rows.groupBy("group_key").agg(F.min("winner_key").alias("lo"), F.max("winner_key").alias("hi")).where("lo != hi").select("group_key")
     ranks = trust.select(F.lower(stripped(F.col("source_description"))).alias("source"), "trust_rank").where("source is not null").groupBy("source").agg(F.min("trust_rank").alias("trust_rank"))
-    fields = rows.select("group_key", "winner_key", snapshot_fields(F.col("source_node_snapshot"), names).alias("f")).where("f is not null")
-    read = fields.select("group_key", "winner_key", "f.name", "f.summary", "f.entity_type", recency(F.col("f.updated_at")).alias("second"), F.lower(stripped(F.col("f.source_description"))).alias("source"))
+    fields = with_snapshot_fields(rows, "source_node_snapshot", names)
+    read = fields.select("group_key", "winner_key", "name", "summary", "entity_type", recency(F.col("updated_at")).alias("second"), F.lower(stripped(F.col("source_description"))).alias("source"))
     trusted = read.join(ranks, "source", "left").withColumn("trust", F.coalesce(-F.col("trust_rank").cast("long"), F.lit(NO_TIME)))
     one = lambda field, first: F.struct(F.lit(field).alias("field_name"), F.col(field).alias("value"), first.cast("long").alias("first"))
     each = trusted.select("group_key", "winner_key", "second", F.explode(F.array(one("name", F.lit(0)), one("summary", letters_count(F.col("summary"))), one("entity_type", F.col("trust")))).alias("x"))
