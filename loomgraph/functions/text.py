@@ -32,8 +32,9 @@ def stripped(text: Column) -> Column:
 
 
 def utc_time(text: Column) -> Column:
-    """Timestamp of an ISO-8601 text; no offset means UTC, an unreadable text gives null."""
+    """Timestamp of an ISO-8601 text; no offset means UTC, a date alone its midnight, an unreadable text gives null."""
     t = stripped(text)
+    t = F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00"))).otherwise(t)
     zoned = t.rlike(r"([zZ]|[+-]\d{2}:?\d{2}|[+-]\d{2})$") & t.rlike(r"\d{2}:\d{2}")
     return F.when(zoned, t).otherwise(F.concat(t, F.lit("+00:00"))).try_cast("timestamp")
 

@@ -81,4 +81,4 @@ def sweep(spark: SparkSession, root: str, work: Callable[[DataFrame], DataFrame]
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by kind and window; on a stream, rows later than ``late`` are not counted. An addition to the reference's scope."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")

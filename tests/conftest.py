@@ -12,6 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+import __spark_entry__  # noqa: E402, F401  it makes the package travel with the tasks
+
 #: Test tables of the smallest scale.
 SMALL = os.environ.get("SMALL_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["episodes", "dead_letter", "dream_runs", "dream_entity_undo_log", "entity", "orphan", "mentions", "embedding_result", "documents", "subject_area", "subject_label", "mix_target", "source_trust"]
