@@ -29,15 +29,17 @@ from loomgraph.plans.staging import staged
 #: Labelled documents that are used for training at most.
 SAMPLE = 20_000
 #: Labelled documents of the sample that a term must occur in.
-TERM_DOCS = 3
+TERM_DOCS = 1
 #: Rounds of the mixture, smoothing of its counts, prior of a sentence about none of the subjects.
-ROUNDS, SMOOTH, NONE_PRIOR = 12, 0.1, 0.4
+ROUNDS, SMOOTH, NONE_PRIOR = 12, 0.03, 0.4
 #: Prior of a subject that a labelled document isn't labelled with, all of these together: wrong labels and passing mentions.
 STRAY_PRIOR = 0.06
+#: Folds in which the parts of training documents come from terms learnt without them.
+FOLDS = 4
 #: Parts of sentences at which the features bend.
 KNEES = (0.1, 0.15, 0.2, 0.25, 0.35)
 #: Hashed sources, combinations kept in the search, ridge of the classifiers.
-SOURCES, BEAM, RIDGE = 32, 12, 1.0
+SOURCES, BEAM, RIDGE = 32, 12, 5.0
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|[\r\n]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -71,9 +73,8 @@ def _sums(odds: np.ndarray, sentences: list[list[int]]) -> np.ndarray:
     """Log odds of each sentence's terms, summed by subject."""
     sizes = np.array([len(s) for s in sentences], np.int64)
     flat = np.concatenate([np.array(s, np.int64) for s in sentences]) if len(sizes) else np.empty(0, np.int64)
-    out = np.zeros((len(sizes) + 1, odds.shape[1]))
-    np.add.at(out, np.repeat(np.arange(len(sizes)), sizes), odds[flat])
-    return out[:-1]
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    return np.stack([np.bincount(at, odds[flat, j], len(sizes)) for j in range(odds.shape[1])], 1)
 
 
 def _posterior(sums: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -98,8 +99,7 @@ def learn_terms(docs: list[list[list[int]]], labels: np.ndarray, terms: int) ->
     odds = np.zeros((terms, k))
     for _ in range(ROUNDS):
         own = np.concatenate([belief, 1 - belief.sum(1, keepdims=True)], 1)
-        counts = np.zeros((terms, k + 1))
-        np.add.at(counts, flat, own[at])
+        counts = np.stack([np.bincount(flat, own[at, j], terms) for j in range(k + 1)], 1)
         share = (counts + SMOOTH) / (counts + SMOOTH).sum(0)
         odds = np.log(share[:, :-1]) - np.log(share[:, -1:])
         belief = _posterior(_sums(odds, sentences), prior)
@@ -185,8 +185,8 @@ def fit(texts: list[str], sources: list[str | None], labels: np.ndarray, subject
     odds = learn_terms(numbered, labels, len(terms))
     # parts as an unlabelled text would have them: terms learnt without the document's own fold
     parts = np.zeros((len(texts), len(subjects)))
-    for fold in range(3):
-        rest = np.arange(len(texts)) % 3 != fold
+    for fold in range(FOLDS):
+        rest = np.arange(len(texts)) % FOLDS != fold
         other = learn_terms([d for d, r in zip(numbered, rest) if r], labels[rest], len(terms)) if len(texts) > 30 else odds
         for i in np.flatnonzero(~rest):
             parts[i] = parts_of(other, numbered[i])
