@@ -29,7 +29,11 @@ def degrees(nodes: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """(node, component): the component's lowest node. Lowest labels spread to neighbours and then jump to the label's label."""
+    """(node, component): the component's lowest node.
+
+    A round takes the lowest label among the neighbours, hands the lowest that any member saw to the label's own node, and
+    jumps to the label's label, so rounds grow with the logarithm of a component's diameter.
+    """
     near = staged(near, "near")
     rows = near.count()
     state = staged(nodes.select("node", F.col("node").alias("component")), "components")
@@ -37,7 +41,8 @@ def components(nodes: DataFrame, near: DataFrame) -> DataFrame:
         offered = spread_join(near.select("node", F.col("neighbour").alias("from")), state.select(F.col("node").alias("from"), F.col("component").alias("seen")), "from", "inner", rows).groupBy("node").agg(F.min("seen").alias("seen"))
         hooked = state.join(offered, "node", "left").select("node", "component", F.least("component", F.coalesce("seen", "component")).alias("next"))
         hooked = staged(hooked, "hooked")
-        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        pulled = hooked.groupBy("component").agg(F.min("next").alias("pull")).withColumnRenamed("component", "node")
+        jump = hooked.join(pulled, "node", "left").select(F.col("node").alias("next"), F.least("next", F.coalesce("pull", "next")).alias("far"))
         new = staged(spread_join(hooked, jump, "next", "left", rows).select("node", F.coalesce("far", "next").alias("component"), (F.coalesce("far", "next") != F.col("component")).alias("moved")), "components")
         state = new.select("node", "component")
         if new.where("moved").isEmpty():
