@@ -105,6 +105,35 @@ def test_more_copies_than_neighbours(spark):
     assert all(got[i] == set([j for j in range(11) if j != i][:10]) for i in range(30))
 
 
+def test_more_scaled_copies_than_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(16).astype(np.float32)
+    scales = rng.permutation(np.arange(-15, 15))
+    others = [(100 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((20, 16)).astype(np.float32))]
+    df = spark.createDataFrame([(i, (x * np.float32(2.0) ** int(p)).tolist()) for i, p in enumerate(scales)] + others, "i long, v array<float>")
+    got = {}
+    for r in knn.nearest(df, "i", "v", 16, 10).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert all(got[i] == set([j for j in range(11) if j != i][:10]) for i in range(30))
+
+
+@pytest.mark.parametrize("held", [1_500_000, 64])
+def test_search_ranks_in_double_precision_what_float32_cannot_tell_apart(monkeypatch, held):
+    monkeypatch.setattr(knn, "HELD", held)
+    monkeypatch.setattr(knn, "CELLS", 120)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(16)
+    stored = np.nextafter(np.tile(base, (60, 1)).astype(np.float32), np.float32(9) * rng.choice([-1, 1], (60, 16)).astype(np.float32))
+    stored[40:] = stored[:20] * np.float32(4)
+    ask = (base + 0.3 * rng.standard_normal((25, 16))).astype(np.float32)
+    ids, codes = rng.permutation(60), np.repeat([3, 5], 30)
+    row, cid, other, cosine = knn._search(knn._stored([(ids, codes, stored)]), [(np.arange(100, 125), ask, np.full(25, 2), np.tile([3, 5], 25))], 11)
+    a, b = ask.astype(np.float64), stored.astype(np.float64)
+    exact = (a[:, None] * b[None]).sum(2) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
+    want = [ids[j] for i in range(25) for j in np.lexsort((ids, -exact[i]))[:11]]
+    assert other.tolist() == want and row.tolist() == np.repeat(np.arange(25), 11).tolist() and cid[row[0]] == 100
+
+
 def test_probe_sets_are_in_order_and_valid():
     sets = knn.probe_sets(3, 26)
     assert len(sets) == 26 and len(set(sets)) == 26 and sets[0] == (0,) and all(5 - r not in s for s in sets for r in s)
