@@ -55,13 +55,14 @@ def component_sizes(parts: DataFrame) -> DataFrame:
 
 
 class Communities(NamedTuple):
-    """Labels (node, label), what the run was like, and the communities' sizes (label, members)."""
+    """Labels (node, label), and what the run was like; resolved: a state came back and its oscillating nodes were given one label in each component."""
 
     labels: DataFrame
     rounds: int
     converged: bool
     oscillating: int
     pinned: int
+    resolved: bool = False
 
 
 def _fingerprint(labels: DataFrame) -> tuple:
@@ -101,7 +102,7 @@ def communities(nodes: DataFrame, near: DataFrame, min_degree: int = 3, rounds:
             lowest = moving.groupBy("component").agg(F.min_by("label", "node").alias("own"))
             settled = moving.select("node", "component").join(lowest, "component").select("node", "own")
             fixed = staged(labels.join(settled, "node", "left").select("node", F.coalesce("own", "label").alias("label")), "labels")
-            return Communities(fixed, done, False, changed.count(), pinned)
+            return Communities(fixed, done, False, changed.count(), pinned, True)
         seen.add(mark)
     return Communities(labels, rounds, False, changed.count(), pinned)
 

@@ -39,8 +39,9 @@ def dream(graph: MemoryGraph, dead: DataFrame, run_id: str, now: str, force: boo
         both = nodes.unionByName(g.episodic.select(F.col("uuid").alias("node")))
         if nodes.isEmpty():
             return "SKIPPED"
-        run = C.communities(both, C.adjacency(pairs, both, "src_uuid", "dst_uuid"), min_degree, 20)
-        return f"COMPLETED: {C.community_sizes(run.labels).count()} communities in {run.rounds} rounds"
+        run = C.communities(both, C.adjacency(pairs, both, "src_uuid", "dst_uuid"), min_degree)
+        end = "converged" if run.converged else f"cycle of {run.oscillating} oscillating nodes resolved" if run.resolved else f"NOT converged, {run.oscillating} nodes still changing"
+        return f"COMPLETED: {C.community_sizes(run.labels).count()} communities in {run.rounds} rounds, {end}"
 
     def merge() -> str:
         g = state["graph"]

@@ -90,6 +90,20 @@ def test_dream(spark):
     assert broken["status"] == "failed" and broken["phase_4_status"].startswith("COMPLETED")
 
 
+def test_dream_clusters_until_the_end(spark):
+    n = 26  # on a path the lowest label needs about a round a node, then the two sides swap labels for good
+    e = spark.createDataFrame([(f"n{i:02}", None, None, "1", "g") for i in range(0, n, 2)], "uuid string, name string, summary string, created_at string, group_id string")
+    ep = spark.createDataFrame([(f"n{i:02}", "n", "c", "1", "s", "g") for i in range(1, n, 2)], "uuid string, name string, content string, created_at string, source_description string, group_id string")
+    m = spark.createDataFrame([(f"m{i}", f"n{i + 1 - i % 2:02}", f"n{i + i % 2:02}", "1", "g") for i in range(n - 1)], "uuid string, src_uuid string, dst_uuid string, created_at string, group_id string")
+    labels, seen, rounds = list(range(n)), set(), 0
+    while tuple(labels) not in seen:
+        seen.add(tuple(labels))
+        labels, rounds = [min(labels[j] for j in (i - 1, i + 1) if 0 <= j < n) for i in range(n)], rounds + 1
+    assert rounds > 20
+    row = dream(MemoryGraph(e, ep, m), spark.createDataFrame([], LETTERS), "r", NOW, min_degree=1).audit.first()
+    assert row["phase_1_status"] == f"COMPLETED: 1 communities in {rounds} rounds, cycle of {n} oscillating nodes resolved"
+
+
 def test_spread_join_keeps_hot_keys_whole(spark):
     many = spark.range(1000).select(F.when(F.col("id") < 700, 1).when(F.col("id") < 990, F.col("id")).alias("k"), "id")
     once = spark.createDataFrame([(1, "hot"), (800, "cold"), (None, "null")], "k long, v string")
