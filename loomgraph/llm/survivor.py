@@ -4,8 +4,8 @@ A candidate value has two qualities, completeness or trust first and recency sec
 group and field, candidates of equal first quality are reduced to their best by map-side combining; over what is
 left, in order of the first quality, a candidate is undominated if its second quality beats all before it. These make the
 skyline (Pareto front) of the field. The policy, lexicographic in the qualities and then the lowest key, picks its
-winner there. Candidates without a usable value are not on a field's front, so a record that lacks a field leaves it
-to the next dominance layer: the survivor is filled field by field from the best layer that has the field.
+winner there. Candidates without a usable value are left out before, so the survivor is filled field by field from
+those that have the field. Only this first front is computed, no later dominance layer of whole records.
 
 No group is gathered in a task: a front holds one candidate per first quality.
 """
