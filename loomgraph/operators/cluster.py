@@ -36,15 +36,17 @@ def components(nodes: DataFrame, near: DataFrame) -> DataFrame:
     """
     near = staged(near, "near")
     rows = near.count()
-    state = staged(nodes.select("node", F.col("node").alias("component")), "components")
+    state = before = staged(nodes.select("node", F.col("node").alias("component")), "components")
+    hooked_before = None
     while True:
         offered = spread_join(near.select("node", F.col("neighbour").alias("from")), state.select(F.col("node").alias("from"), F.col("component").alias("seen")), "from", "inner", rows).groupBy("node").agg(F.min("seen").alias("seen"))
         hooked = state.join(offered, "node", "left").select("node", "component", F.least("component", F.coalesce("seen", "component")).alias("next"))
-        hooked = staged(hooked, "hooked")
+        hooked = staged(hooked, "hooked", hooked_before)
+        hooked_before = hooked
         pulled = hooked.groupBy("component").agg(F.min("next").alias("pull")).withColumnRenamed("component", "node")
         jump = hooked.join(pulled, "node", "left").select(F.col("node").alias("next"), F.least("next", F.coalesce("pull", "next")).alias("far"))
-        new = staged(spread_join(hooked, jump, "next", "left", rows).select("node", F.coalesce("far", "next").alias("component"), (F.coalesce("far", "next") != F.col("component")).alias("moved")), "components")
-        state = new.select("node", "component")
+        new = staged(spread_join(hooked, jump, "next", "left", rows).select("node", F.coalesce("far", "next").alias("component"), (F.coalesce("far", "next") != F.col("component")).alias("moved")), "components", before)
+        state, before = new.select("node", "component"), new
         if new.where("moved").isEmpty():
             return state
 
@@ -85,12 +87,12 @@ def communities(nodes: DataFrame, near: DataFrame, min_degree: int = 3, rounds:
     pinned = nodes.count() - free.count()
     voters = near.join(free, "node", "left_semi").join(free.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi").select("node", "neighbour")
     voters = staged(voters, "voters")
-    labels = staged(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = step = staged(nodes.select("node", F.col("node").alias("label")), "labels")
     seen = {_fingerprint(labels)}
     for done in range(1, rounds + 1):
         told = spread_join(voters, labels.select(F.col("node").alias("neighbour"), "label"), "neighbour", "inner", rows)
         tally = told.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
-        step = staged(labels.join(tally, "node", "left").select("node", F.col("label").alias("before"), F.coalesce("best.label", "label").alias("label")), "labels")
+        step = staged(labels.join(tally, "node", "left").select("node", F.col("label").alias("before"), F.coalesce("best.label", "label").alias("label")), "labels", step)
         changed = step.where("label != before")
         labels = step.select("node", "label")
         if changed.isEmpty():

@@ -19,6 +19,11 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
     return None if hot.isEmpty() else hot
 
 
+def small(rows: DataFrame, most: int = HOT_KEYS) -> DataFrame:
+    """``rows``, to be broadcast if a count shows at most ``most`` of them; give it a staged table of narrow rows."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def spread_join(many: DataFrame, once: DataFrame, key: str, how: str = "inner", rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``many`` joined to ``once`` (few rows a key) on ``key``; hot keys of ``many`` are salted and their rows of ``once`` repeated.
 
@@ -30,7 +35,7 @@ def spread_join(many: DataFrame, once: DataFrame, key: str, how: str = "inner",
     hot = hot_keys(many, key, hot_rows)
     if hot is None:
         return many.join(once, key, how)
-    few = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    few = small(hot)
     others = [c for c in many.columns if c != key]
     left = many.join(few, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     right = once.join(few, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
