@@ -1,7 +1,9 @@
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,20 +56,36 @@ def texts(seed, n=140):
         for _ in range(rng.randrange(3)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         out.append((f"u{i:03}", " ".join(w)))
-    return [*out, ("e1", ""), ("e2", "!?"), ("e3", None), (None, "w1 w2"), out[0], ("long", " ".join(f"x{i}" for i in range(5000))), ("long2", " ".join(f"x{i}" for i in range(200, 5000)))]
+    return [*out, ("e1", ""), ("e2", "!?"), ("e3", None), (None, "w1 w2"), out[0], ("long", " ".join(f"x{i}" for i in range(1500))), ("long2", " ".join(f"x{i}" for i in range(200, 1500)))]
 
 
-@pytest.mark.parametrize(("long_list", "hot"), [(1000, 20_000), (3, 20_000), (1, 8), (1000, 8)])
-def test_alike_pairs_match_brute_force(spark, monkeypatch, long_list, hot):
+@pytest.mark.parametrize(("long_list", "hot", "share"), [(1000, 20_000, 0.75), (3, 20_000, 0.8), (1, 8, 0.75), (1000, 8, 0.55), (1, 20_000, 0.6)])
+def test_alike_pairs_match_brute_force(spark, monkeypatch, long_list, hot, share):
     monkeypatch.setattr(neardup, "LONG_LIST", long_list)
     monkeypatch.setattr(neardup, "HOT_POSTS", hot)
     rows = texts(long_list + hot)
-    got = rows_of(neardup.alike_ids(spark.createDataFrame(rows, "id string, t string"), "id", words(F.col("t"))))
+    got = rows_of(neardup.alike_ids(spark.createDataFrame(rows, "id string, t string"), "id", words(F.col("t")), share))
     sets = [(i, frozenset(re.findall("[a-z0-9_]+", (t or "").lower()))) for i, t in rows if i]
-    want = {(min(a, b), max(a, b)) for a, x in sets for b, y in sets if a != b and 4 * len(x & y) >= 3 * max(len(x), len(y))}
+    want = {(min(a, b), max(a, b)) for a, x in sets for b, y in sets if a != b and len(x & y) >= Fraction(str(share)) * max(len(x), len(y))}
     assert got == sorted(want)
 
 
+def test_frequent_words_lose_no_link_at_a_low_share(monkeypatch):
+    monkeypatch.setattr(neardup, "LONG_LIST", 0)
+    words_of = pa.array([[11, 22, 33], [11, 22, 44]], pa.list_(pa.int64()))
+    share = neardup.exact_share(0.6)
+    kernel = neardup._posts(np.full(neardup.SKETCH, 9), 10, share, 0, min(neardup.MOST_VALUES, neardup.fewest_shared(share)))
+    posts = pa.Table.from_batches(list(kernel([pa.record_batch([pa.array([1, 2]), words_of], ["cid", "words"])]))).to_pydict()
+    assert {k for k, c in zip(posts["key"], posts["cid"]) if c == 1} & {k for k, c in zip(posts["key"], posts["cid"]) if c == 2}
+
+
+def test_fewest_shared():
+    share = lambda x: neardup.fewest_shared(neardup.exact_share(x))
+    assert [share(x) for x in (0.5, 0.55, 0.6, 0.75, 0.8, 0.9)] == [1, 2, 2, 3, 4, 9]
+    with pytest.raises(ValueError):
+        neardup.exact_share(0)
+
+
 def vectors(n, seed):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((8, 16))
