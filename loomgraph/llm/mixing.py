@@ -23,8 +23,10 @@ from loomgraph.plans.staging import staged
 
 #: Blocks of all sources together at most, beside one a source; a block has at least BLOCK_TOKENS tokens.
 BLOCKS, BLOCK_TOKENS = 1 << 15, 20_000
-#: Tokens of an output shard, and shards at most.
-SHARD_TOKENS, SHARDS = 4_000_000, 4096
+#: Uses of blocks that the driver deals at most; many repeats make fewer blocks.
+USES = 1 << 21
+#: Tokens of an output shard; as a block goes to one shard, there are no more shards than blocks.
+SHARD_TOKENS = 4_000_000
 #: Targets at most: they are held on the driver.
 TARGETS = 10_000
 
@@ -87,17 +89,23 @@ def mixed(sized: DataFrame, mix: DataFrame, seed: int = 29) -> DataFrame:
     own = staged(own, "sized")
     held = {targets[r["s"]].key: r["n"] or 0 for r in own.groupBy("s").agg(F.sum("n_tokens").alias("n")).collect()}
     total = sum(held.values())
-    block_tokens = max(BLOCK_TOKENS, total // BLOCKS)
+    repeats = max((t.repeats for t in targets), default=1)
+    if repeats > USES:
+        raise ValueError(f"more than {USES} repeats")
+    most_blocks = min(BLOCKS, USES // repeats)
+    block_tokens = max(BLOCK_TOKENS, total // most_blocks)
     cuts = F.element_at(F.array(*[F.lit(max(1, held.get(t.key, 0) // block_tokens)) for t in targets] or [F.lit(1)]), F.col("s") + 1)
     placed = own.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), cuts).cast("int"))
-    sums = placed.groupBy("s", "block").agg(F.sum("n_tokens").alias("n")).orderBy("s", "block").collect()  # at most BLOCKS + TARGETS
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("s", "block").agg(F.sum("n_tokens").alias("n")).orderBy("s", "block").collect():  # at most BLOCKS + TARGETS
+        sums.setdefault(r["s"], []).append((r["block"], r["n"] or 0))
 
     rng = np.random.default_rng(seed)
     want = wanted_tokens(targets, held, total)
     uses: list[list[tuple[int, int]]] = []  # by source: (block, copy) in random order
     ends: list[tuple[int, int, int, float]] = []  # source, block, copy, tokens: the block that is cut
     for s, t in enumerate(targets):
-        blocks = [(r["block"], r["n"] or 0) for r in sums if r["s"] == s]
+        blocks = sums.get(s, [])
         passes = min(t.repeats, int(want[t.key] // held[t.key])) if held.get(t.key) else 0
         rest = want[t.key] - passes * held.get(t.key, 0)
         mine = [(b, c) for c in range(passes) for b, _ in blocks]
@@ -109,7 +117,7 @@ def mixed(sized: DataFrame, mix: DataFrame, seed: int = 29) -> DataFrame:
                 break
             rest -= tokens
         uses.append([mine[i] for i in rng.permutation(len(mine))])
-    shards = int(min(SHARDS, max(1, -(-total // SHARD_TOKENS))))
+    shards = int(min(most_blocks, max(1, -(-total // SHARD_TOKENS))))
     quotas = split_tree(np.array([len(u) for u in uses], np.int64), shards, rng) if targets else np.zeros((1, 0), np.int64)
     dealt = []
     for s, mine in enumerate(uses):

@@ -28,6 +28,10 @@ from loomgraph.plans.staging import staged
 
 #: Labelled documents that are used for training at most.
 SAMPLE = 20_000
+#: Characters of a labelled document that is used for training at most; longer ones are classified, not learnt from.
+SAMPLE_CHARS = 50_000
+#: Subjects at most; more are refused.
+SUBJECTS = 1000
 #: Labelled documents of the sample that a term must occur in.
 TERM_DOCS = 1
 #: Rounds of the mixture, smoothing of its counts, prior of a sentence about none of the subjects.
@@ -219,9 +223,11 @@ def _classifier(model: SubjectModel):
 def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[list[str], list[str | None], np.ndarray]:
     """Texts, sources and labels of at most SAMPLE labelled documents; labels compare without outer blanks in any letter case."""
     known = labels.select("doc_id", F.lower(stripped(F.col("subject"))).alias("subject")).where(F.col("subject").isin([s.lower() for s in subjects]) & F.col("doc_id").isNotNull())
-    by_doc = known.groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
+    by_doc = known.groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))  # no more than SUBJECTS
+    fitting = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id")
+    by_doc = by_doc.join(fitting, "doc_id", "left_semi")
     chosen = staged(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled")
-    rows = docs.select("doc_id", "text", key_form(F.col("source")).alias("source")).join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("doc_id").collect()  # at most SAMPLE rows
+    rows = docs.select("doc_id", "text", key_form(F.col("source")).alias("source")).join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("doc_id").collect()  # at most SAMPLE rows of SAMPLE_CHARS
     place = {s.lower(): i for i, s in enumerate(subjects)}
     y = np.zeros((len(rows), len(subjects)), bool)
     for i, r in enumerate(rows):
@@ -234,7 +240,9 @@ def classified(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFram
 
     Null, empty and letterless texts are about nothing. Without labels of the listed subjects the result is empty.
     """
-    subjects = [r["subject"] for r in areas.select("subject").where("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    subjects = [r["subject"] for r in areas.select("subject").where("subject is not null").distinct().orderBy("subject").limit(SUBJECTS + 1).collect()]
+    if len(subjects) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
     texts, sources, y = labelled_sample(docs, labels, subjects)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key_form(F.col("source")).alias("source"))
     if not y.any():

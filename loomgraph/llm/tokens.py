@@ -32,10 +32,15 @@ BATCH_TEXTS, BATCH_CHARS = 2000, 1_000_000
 _PARTS = "batch long, kind int, doc_id long, codes array<int>, word binary"
 
 
-def ranks(vocabulary: str = VOCABULARY, tokenizer_dir: str = TOKENIZER_DIR) -> dict[bytes, int]:
-    """Token bytes and their ids, of a vocabulary's rank file."""
-    with open(f"{tokenizer_dir}/{vocabulary}.tiktoken", "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+def rank_file(vocabulary: str = VOCABULARY, tokenizer_dir: str = TOKENIZER_DIR) -> bytes:
+    """A vocabulary's rank file, under a megabyte; the driver reads it and sends it with the tasks."""
+    with open(f"{tokenizer_dir}/{vocabulary}.tiktoken", "rb") as file:
+        return file.read()
+
+
+def ranks(file: bytes) -> dict[bytes, int]:
+    """Token bytes and their ids, of a rank file."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line.strip())}
 
 
 def _cutter():
@@ -72,7 +77,7 @@ def _cutter():
     return kernel
 
 
-def _encoder(vocabulary: str, tokenizer_dir: str):
+def _encoder(file: bytes):
     """Kernel: words to (word, ids)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +85,7 @@ def _encoder(vocabulary: str, tokenizer_dir: str):
 
         coder = None
         for rows in batches:
-            coder = coder or tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary, tokenizer_dir), special_tokens={})
+            coder = coder or tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks(file), special_tokens={})
             ids = coder.encode_ordinary_batch([w.decode() for w in rows.column(0).to_pylist()], num_threads=1)
             yield pa.record_batch([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
@@ -112,7 +117,7 @@ def encoded(texts: DataFrame, ident: str, text: str, vocabulary: str = VOCABULAR
     """(doc_id, ids) of every row, or (doc_id, n_tokens): one row out for each row in, whatever its id."""
     parts = staged(texts.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cutter(), _PARTS), "parts")
     dictionary = parts.where("kind = 0").select("batch", F.col("doc_id").alias("code"), "word")
-    coded = dictionary.select("word").distinct().mapInArrow(_encoder(vocabulary, tokenizer_dir), "word binary, ids array<int>")
+    coded = dictionary.select("word").distinct().mapInArrow(_encoder(rank_file(vocabulary, tokenizer_dir)), "word binary, ids array<int>")
     back = spread_join(dictionary, coded, "word", "inner", dictionary.count())
     both = back.select("batch", F.lit(0).alias("kind"), F.col("code").alias("doc_id"), F.lit(None).cast("array<int>").alias("codes"), "ids").unionByName(
         parts.where("kind = 1").select("batch", "kind", "doc_id", "codes", F.lit(None).cast("array<int>").alias("ids"))
@@ -123,7 +128,7 @@ def encoded(texts: DataFrame, ident: str, text: str, vocabulary: str = VOCABULAR
 
 def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(token, bytes in hexadecimal digits): the vocabulary, some 50,000 rows."""
-    return spark.createDataFrame([(i, b.hex()) for b, i in ranks(vocabulary, tokenizer_dir).items()], "token int, bytes string")
+    return spark.createDataFrame([(i, b.hex()) for b, i in ranks(rank_file(vocabulary, tokenizer_dir)).items()], "token int, bytes string")
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:

@@ -17,7 +17,7 @@ TEXTS = ["", None, " ", "Hello  world", "it's <|endoftext|> done", "日本語 т
 def test_ids_match_the_tokenizer_and_decode(spark):
     import tiktoken
 
-    coder = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=tokens.ranks(), special_tokens={})
+    coder = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=tokens.ranks(tokens.rank_file()), special_tokens={})
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     ids = tokens.encoded(df, "doc_id", "text")
     assert {r["doc_id"]: r["ids"] for r in ids.collect()} == {i: coder.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
@@ -77,10 +77,21 @@ def test_collision_is_an_error(spark):
         formatting.copy_groups(prints).collect()
 
 
-def test_skyline(spark):
-    rows = [("g", 5, 1, "a"), ("g", 5, 3, "c"), ("g", 5, 3, "b"), ("g", 4, 3, "d"), ("g", 4, 4, "e"), ("g", 1, 9, "f"), ("g", 1, 2, "g"), ("h", 1, survivor.NO_TIME, "z"), ("h", 1, survivor.NO_TIME, "y")]
-    df = spark.createDataFrame(rows, "g string, first long, second long, k string")
-    assert rows_of(survivor.skyline(df, ["g"], "first", "second", "k").select("g", "k", "rank")) == [("g", "b", 1), ("g", "e", 2), ("g", "f", 3), ("h", "y", 1)]
+def test_more_repeats_make_fewer_blocks_and_too_many_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 10)
+    monkeypatch.setattr(mixing, "USES", 20)
+    sized = spark.createDataFrame([(i, "a", 10) for i in range(40)], "doc_id long, source string, n_tokens long")
+    mix = lambda n: spark.createDataFrame([("a", 1.0, n)], "source string, target_share double, max_repeats int")
+    assert mixing.mixed(sized, mix(10)).count() == 40
+    with pytest.raises(ValueError):
+        mixing.mixed(sized, mix(21))
+
+
+def test_too_many_subjects_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "SUBJECTS", 2)
+    areas = spark.createDataFrame([(x,) for x in "abc"], "subject string")
+    with pytest.raises(ValueError):
+        subjects.classified(spark.createDataFrame([], "doc_id long, text string, source string"), spark.createDataFrame([], "doc_id long, subject string"), areas)
 
 
 def test_snapshots(spark):
