@@ -144,14 +144,36 @@ def test_search_ranks_in_double_precision_what_float32_cannot_tell_apart(monkeyp
     stored = np.nextafter(np.tile(base, (60, 1)).astype(np.float32), np.float32(9) * rng.choice([-1, 1], (60, 16)).astype(np.float32))
     stored[40:] = stored[:20] * np.float32(4)
     ask = (base + 0.3 * rng.standard_normal((25, 16))).astype(np.float32)
-    ids, codes = rng.permutation(60), np.repeat([3, 5], 30)
-    row, cid, other, cosine = knn._search(knn._stored([(ids, codes, stored)]), [(np.arange(100, 125), ask, np.full(25, 2), np.tile([3, 5], 25))], 11)
+    ids = rng.permutation(60)
+    plan = knn.HashPlan([np.zeros((16, 2), np.float32)], [np.zeros(2, np.float32)], [], 0)  # one bucket
+    row, cid, other, cosine = knn._search(plan, 0, knn._stored(plan, 0, [(ids, stored)]), np.arange(100, 125), ask, 11)
     a, b = ask.astype(np.float64), stored.astype(np.float64)
     exact = (a[:, None] * b[None]).sum(2) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
     want = [ids[j] for i in range(25) for j in np.lexsort((ids, -exact[i]))[:11]]
     assert other.tolist() == want and row.tolist() == np.repeat(np.arange(25), 11).tolist() and cid[row[0]] == 100
 
 
+@pytest.mark.parametrize(("count", "block"), [(400, 1 << 17), (400, 60), (5_000_000, 1 << 17), (5_000_000, 60)])
+def test_regions_and_blocks_lose_nothing_that_the_plan_finds(spark, monkeypatch, count, block):
+    monkeypatch.setattr(knn, "BLOCK", block)
+    monkeypatch.setattr(knn, "PROBES", 4000)
+    x = vectors(400, 9)
+    near = [x[[j for i2, j in brute(x, 5) if i2 == i]] for i in range(100)]
+    plan = knn.plan_of(count, x[:100], near, x, 17)
+    assert plan.recall >= 0.97 and (plan.region > 0) == (count > 400)
+    got = {(r["id"], r["other"]) for r in knn.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<float>"), "i", "v", 16, 5, plan).collect()}
+    want = brute(x, 5)
+    assert len(got & want) / len(want) > 0.95
+
+
+def test_more_vectors_get_more_functions():
+    x = vectors(3000, 4)
+    near = [x[[j for i2, j in brute(x[:600], 5) if i2 == i]] for i in range(100)]
+    plans = [knn.plan_of(n, x[:100], near, x, 17) for n in (10**3, 10**6, 10**9)]
+    parts = [p.compared for p in plans]
+    assert parts == sorted(parts, reverse=True) and parts[2] < parts[0] and all(p.recall >= 0.97 for p in plans)
+
+
 def test_probe_sets_are_in_order_and_valid():
     sets = knn.probe_sets(3, 26)
     assert len(sets) == 26 and len(set(sets)) == 26 and sets[0] == (0,) and all(5 - r not in s for s in sets for r in s)
