@@ -5,9 +5,9 @@ The distinct referenced keys are matched as of the preceding run start; a key be
 parent. A run carries the parents' own times, so the same pass tells which parents came later than a reference.
 Keys of another form (not 32 hexadecimal digits) make runs of one key and match by equality in the same pass.
 
-Both sides are cut at the same quantiles of the parents' key values, so each piece is matched in a task of its own
-and no run crosses a piece. References are reduced to distinct keys by map-side combining before they move; only
-the keys in question (missing, or earlier than their parent) meet the records again, spread over salts.
+Both sides are cut at the same quantiles of a sample of all keys, parents' and referred ones, compared as texts, so each piece is matched in a task of its own
+and no run crosses a piece. The number of pieces follows the number of keys. References are reduced to distinct keys by map-side combining before they move; only
+the keys in question (missing, or earlier than their parent) meet the records again, hot ones spread over salts.
 
 Defined cases: null and blank references are no cases; an unreadable time is never late, of a parent nor of a
 record, and such a record's period is null; repeated records count once; empty tables give no parents or no cases.
@@ -15,18 +15,18 @@ record, and such a record's period is null; repeated records count once; empty t
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.text import key_form, month, utc_time
+from loomgraph.plans.skew import spread_join
 from loomgraph.plans.staging import staged
 
 #: Keys of one run; bounds the array of times that a run carries.
 RUN_KEYS = 1024
-#: Pieces of the key range; their bounds are the only thing that reaches the driver.
-PIECES = 512
-#: Salts of the keys in question when they meet the records.
-SALTS = 16
+#: Keys of a piece on average, pieces at most (their bounds are held on the driver), sampled keys for each bound.
+PIECE_KEYS, PIECES, SAMPLED = 20_000, 16_384, 32
 
 _HEX = "^[0-9a-f]{32}$"
 
@@ -36,20 +36,24 @@ def _low(key: Column) -> Column:
     return F.when(key.rlike(_HEX), F.conv(F.substring(key, 17, 16), 16, -10).cast("long"))
 
 
-def _value(key: Column) -> Column:
-    """A number that grows with the key; it only places keys in pieces."""
-    part = lambda at: F.coalesce(F.conv(F.substring(key, at, 12), 16, 10).cast("double"), F.lit(0.0))
-    return F.when(key.rlike(_HEX), part(1) * F.lit(float(2**80)) + part(13) * F.lit(float(2**32)) + F.coalesce(F.conv(F.substring(key, 25, 8), 16, 10).cast("double"), F.lit(0.0))).otherwise(
-        -1.0 - F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("double")
-    )
+def key_bounds(keys: DataFrame, rows: int) -> list[str]:
+    """Bounds that cut ``keys`` (a column key, ``rows`` rows) in pieces of about PIECE_KEYS, from the first keys by hash."""
+    pieces = min(PIECES, math.ceil(rows / PIECE_KEYS))
+    if pieces < 2:
+        return []
+    taken = sorted(r["key"] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(pieces * SAMPLED).collect())  # bounded
+    return sorted({taken[len(taken) * i // pieces] for i in range(1, pieces)})
 
 
-def _with_piece(keys: DataFrame, bounds: list[float]) -> DataFrame:
-    inner = sorted(set(bounds))
-    splits = [float("-inf"), *inner, float("inf")]
-    if len(splits) < 3:
-        return keys.withColumn("_piece", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="_value", outputCol="_piece", handleInvalid="keep").transform(keys)
+def _with_piece(keys: DataFrame, bounds: list[str]) -> DataFrame:
+    """``keys`` with ``_piece``: how many bounds aren't beyond the key, twice, and one more for hexadecimal keys, which stand apart."""
+    wide = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    cuts = F.broadcast(keys.sparkSession.createDataFrame([([g[0] for g in groups], groups)], "_outer array<string>, _inner array<array<string>>"))  # one row
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("key")))
+    at = keys.join(cuts).withColumn("_g", upto(F.col("_outer")))
+    inner = F.when(F.col("_g") > 0, (F.col("_g") - 1) * wide + upto(F.get("_inner", F.col("_g") - 1))).otherwise(0)
+    return at.withColumn("_piece", inner * 2 + F.col("key").rlike(_HEX).cast("int")).drop("_outer", "_inner", "_g")
 
 
 def parent_keys(rows: DataFrame, key: str, time: str) -> DataFrame:
@@ -116,22 +120,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, moved: DataFrame | No
     kind is late, deleted or missing.
     """
     refs = staged(refs, "references")
-    parents = staged(parents.withColumn("_value", _value(F.col("key"))), "parents")
-    cut = parents.agg(F.percentile_approx("_value", [i / PIECES for i in range(1, PIECES)], 10_000).alias("b")).first()["b"] or []
-    runs = key_runs(_with_piece(parents, cut).drop("_value"))
-    asked = refs.groupBy("parent", "key").agg(F.min("ref_time").alias("earliest")).withColumn("_value", _value(F.col("key")))
-    matched = as_of_runs(_with_piece(asked, cut).drop("_value"), runs)
+    parents = staged(parents, "parents")
+    asked = staged(refs.groupBy("parent", "key").agg(F.min("ref_time").alias("earliest")), "asked")
+    keys = parents.select("key").unionByName(asked.select("key"))
+    cut = key_bounds(keys, keys.count())
+    matched = as_of_runs(_with_piece(asked, cut), key_runs(_with_piece(parents, cut)))
     doubtful = matched.where(~F.col("found") | (F.col("own_time") > F.col("earliest"))).select("parent", "key", "found", "own_time")
     if moved is not None:
         gone = moved.select("key").where(F.col("key").isNotNull()).distinct().select(F.lit(moved_parent).alias("parent"), "key", F.lit(True).alias("gone"))
         doubtful = doubtful.join(gone, ["parent", "key"], "left")
     else:
         doubtful = doubtful.withColumn("gone", F.lit(False))
-    spread = doubtful.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64("record_key", "ref_time"), F.lit(SALTS)).cast("int"))
+    named = F.concat_ws(":", "parent", "key").alias("_named")
+    asking = refs.select("table_name", "field_name", "record_key", "ref_time", named)
     kind = F.when(F.col("found"), F.when(F.col("own_time") > F.col("ref_time"), "late")).when(F.coalesce(F.col("gone"), F.lit(False)), "deleted").otherwise("missing")
     return (
-        salted.join(spread, ["parent", "key", "_salt"])
+        spread_join(asking, doubtful.select(named, "found", "own_time", "gone"), "_named", "inner", refs.count())
         .select("table_name", "field_name", "record_key", month(F.col("ref_time")).alias("period"), kind.alias("kind"))
         .where(F.col("kind").isNotNull())
         .distinct()

@@ -29,12 +29,13 @@ def brute(refs, parents, moved):
 def test_random_runs_match_brute_force(spark, monkeypatch, run_keys):
     rng = random.Random(run_keys)
     monkeypatch.setattr(R, "RUN_KEYS", run_keys)
+    monkeypatch.setattr(R, "PIECE_KEYS", run_keys)
     numbers = set()
     for start in [0, 5, (1 << 64) - 3, (1 << 127) - 2, (1 << 128) - 6, *[rng.getrandbits(128) for _ in range(20)]]:
         numbers |= {(start + i) % (1 << 128) for i in range(rng.randrange(1, 12))}
     parents = {(p, key(n)): rng.choice([None, 10, 20, 30]) for n in numbers for p in ("entity", "run") if rng.random() < 0.8}
-    parents |= {("entity", "letters"): 10, ("entity", "g0"): 30}
-    asked = [key((n + d) % (1 << 128)) for n in numbers for d in (-1, 0, 1)] + ["letters", "letter", "g0", None]
+    parents |= {("entity", key(5) + "z"): 10, ("entity", "letters"): 10, ("entity", "g0"): 30}
+    asked = [key((n + d) % (1 << 128)) for n in numbers for d in (-1, 0, 1)] + [key(5) + "z", key(6) + "z", "letters", "letter", "g0", None]
     refs = [(str(i), rng.choice(["entity", "run"]), k, rng.choice([None, 5, 15, 25, 35])) for i, k in enumerate(asked * 2)]
     moved = {k for k in asked if k and rng.random() < 0.3}
     t = lambda c: F.timestamp_seconds(F.col(c))
@@ -51,6 +52,13 @@ def test_successive_keys_make_one_run(spark):
     assert R.key_runs(keys, 10_000).count() == 1
 
 
+def test_keys_under_one_half_fall_into_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE_KEYS", 100)
+    keys = spark.range(2000).select(F.lpad(F.lower(F.hex(F.col("id") * 10**9)), 32, "0").alias("key"))
+    sizes = [r["count"] for r in R._with_piece(keys, R.key_bounds(keys, 2000)).groupBy("_piece").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 250
+
+
 def test_forms_of_ids_and_times(spark):
     rows = spark.createDataFrame([(1, " {AB-cd}\t", "2026-01-31T23:30:00-01:00"), (2, " ", "2026-01-01"), (3, None, None), (4, "x", "not a time")], "id long, k string, t string")
     got = rows_of(R.references(rows, "t", "id", "k", "p", "t").select("record_key", "key", "ref_time"))
