@@ -8,6 +8,7 @@ Null and unreadable payloads repair to the schema's empty form; a schema without
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -23,7 +24,7 @@ ENTITY_NAMES = ["extracted_entities", "entities", "node_list", "extracted", "ite
 SUMMARY_NAMES = ["summaries", "summarized_entities", "summary_list", "items"]
 CLASS_NAMES = ["SummarizedEntity", "ExtractedEntity", "SummarizedEntities", "ExtractedEntities"]
 ENTITY_MARKS = ["name", "summary", "entity_type", "entity_type_id"]
-NULL_WORDS = ["none", "null", "empty", "[]", "n/a", "no", "false"]
+NULL_WORDS = ["none", "null", "empty", "n/a", "no", "false"]
 UNNAMED = "<unnamed>"
 
 
@@ -44,17 +45,13 @@ def _int_of(value: Any) -> int | None:
 
 
 def ints_of(value: Any) -> list[int]:
-    """Whole numbers of a number, a list, or a text like '[1, 2; x]'; what is none is left out."""
-    if isinstance(value, (int, float)):
-        found = [_int_of(value)]
-    elif isinstance(value, list):
-        found = [_int_of(v) for v in value]
-    elif isinstance(value, str):
-        text = value.strip("[](){}\"' ")
-        found = [] if text.lower() in NULL_WORDS else [_int_of(p.strip()) for part in text.split(";") for p in part.split(",")]
-    else:
-        found = []
-    return [n for n in found if n is not None]
+    """Whole numbers of a number, a list, or a text of numbers between commas or semicolons; what is none is left out."""
+    if isinstance(value, str):
+        bare = re.sub(r"^[\s\[\](){}\"']+|[\s\[\](){}\"']+$", "", value)
+        value = [] if bare.lower() in NULL_WORDS else re.split("[,;]", bare)
+    elif not isinstance(value, list):
+        value = [value]
+    return [n for n in map(_int_of, value) if n is not None]
 
 
 def unwrapped(payload: dict) -> dict:
@@ -120,24 +117,18 @@ def summarized_entity(entity: Any) -> dict:
 
 
 def _entity_list(payload: Any, names: list[str]) -> list:
-    """The entities of a payload: itself a list, under a known name, under the class's name, or the payload itself."""
+    """The entities of a payload (or of the JSON that it is as a text): a list, what a known name holds, or else the payload if it looks like an entity."""
     if isinstance(payload, str):
-        text = payload.strip()
         try:
-            payload = json.loads(text) if text[:1] in ("{", "[") else None
+            payload = json.loads(payload)
         except ValueError:
-            payload = None
-    if isinstance(payload, list):
-        return payload
+            return []
     if not isinstance(payload, dict):
-        return []
+        return payload if isinstance(payload, list) else []
     own = unwrapped(payload)
-    held = next((own[n] for n in names if isinstance(own.get(n), (list, dict))), None)
-    if held is None:
-        held = next((own[n] for n in CLASS_NAMES if isinstance(own.get(n), (list, dict, str))), None)
-    if held is None:
-        return [own] if _first_of(own, ENTITY_MARKS) else []
-    return held if isinstance(held, list) else [held]
+    places = [(n, (list, dict)) for n in names] + [(n, (list, dict, str)) for n in CLASS_NAMES]
+    held = [own[n] for n, kinds in places if isinstance(own.get(n), kinds)] or ([own] if own.keys() & set(ENTITY_MARKS) else [[]])
+    return held[0] if isinstance(held[0], list) else [held[0]]
 
 
 def entities(schema: str, payload: Any) -> dict:

@@ -10,6 +10,9 @@ from loomgraph.plans.staging import staged
 from loomgraph.sources.graph import memory_graph
 from loomgraph.sources.tables import table
 
+#: The group of the queries on one group.
+GROUP = "team_aster"
+
 
 def d1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words of each entity's summary."""
@@ -45,6 +48,48 @@ def d7_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.roots(last)
 
 
+def _keyed_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The relations with ends in key form, and where the undo log's merges send them."""
+    keyed = memory_graph(spark, sf_dir).relations.withColumns({c: key_form(F.col(c)) for c in ("src_uuid", "dst_uuid")})
+    return keyed, d7_roots(spark, sf_dir)
+
+
+def s3_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of one group's entities, by source."""
+    return memory_graph(spark, sf_dir, GROUP).relations.groupBy("src_uuid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s2_group_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of one group's entities, by episode."""
+    return memory_graph(spark, sf_dir, GROUP).mentions.groupBy("src_uuid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def d9_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that the merges make loops."""
+    return D.redirected_relations(*_keyed_relations(spark, sf_dir)).where("self_loop").select("uuid", F.col("src_uuid").alias("node"))
+
+
+def d10_relation_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the merges do to relations, counted."""
+    return D.relation_counters(*_keyed_relations(spark, sf_dir))
+
+
+def d12_relations_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations after the merges, duplicates kept."""
+    return D.apply_relations(*_keyed_relations(spark, sf_dir), drop_duplicates=False).select("uuid", "src_uuid", "dst_uuid", "fact", "created_at")
+
+
+def d13_extra_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations after the merges, one for each pair of ends and fact in the whole table."""
+    return D.apply_relations(*_keyed_relations(spark, sf_dir), touched_only=False).select("uuid", "src_uuid", "dst_uuid")
+
+
+def r4_prune_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What applying a plan of all orphans named in the orphan table does to the graph."""
+    graph = memory_graph(spark, sf_dir)
+    return P.prune_counters(table(spark, sf_dir, "orphan"), graph.entity, P.referenced(graph.mentions.select("dst_uuid")))
+
+
 def d11_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that repeat another's name and content."""
     return D.exact_folds(memory_graph(spark, sf_dir).episodic).select("survivor_uuid", "victim_uuid")
@@ -128,23 +173,38 @@ def d16_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undo.agg(F.count(F.lit(1)).alias("undo"), F.countDistinct("source_node_uuid").alias("victims"))
 
 
-QUERIES = {f.__name__: f for f in (d1_tokens, d3_pairs, d4_merges, d6_plan, d6_clusters, d7_roots, d11_folds, a11_fold_clusters, d15_fold_mentions, d16_undo, a9_duplicate_mentions, a10_collisions, r2_orphans, r3_prune, g16_components, g17_degrees, l2_communities, l6_metrics, l7_partition_hash)}
+QUERIES = {f.__name__: f for f in (s2_group_mentions, s3_relations, d9_self_loops, d10_relation_drops, d12_relations_moved, d13_extra_edges, r4_prune_counters, d1_tokens, d3_pairs, d4_merges, d6_plan, d6_clusters, d7_roots, d11_folds, a11_fold_clusters, d15_fold_mentions, d16_undo, a9_duplicate_mentions, a10_collisions, r2_orphans, r3_prune, g16_components, g17_degrees, l2_communities, l6_metrics, l7_partition_hash)}
 
-_ONE = lambda t, k: f"SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY {k}) = 1"
+_T = lambda c: rf"(try_cast(CASE WHEN regexp_matches({c}, '([zZ]|[+-]\d{{2}}:?\d{{2}})$') THEN {c} WHEN length({c}) = 10 THEN {c} || 'T00:00:00+00:00' ELSE {c} || '+00:00' END AS TIMESTAMPTZ) AT TIME ZONE 'UTC')"
+_ONE = lambda t, k, time, cols: f"SELECT * FROM {t} QUALIFY {k} IS NULL OR row_number() OVER (PARTITION BY {k} ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in [_T(time), *cols])}) = 1"
 _P = lambda n: f"CASE WHEN json_valid(payload_json) THEN json_extract_string(payload_json, '$.{n}') END"
-_W = f"""WITH RECURSIVE en AS ({_ONE('entity', 'uuid')}), ep AS (SELECT id uuid, {_P('name')} AS name, {_P('content')} content, created_at FROM ({_ONE('episodes', 'id')})),
-me AS (SELECT uuid, coalesce(src_uuid, dst_uuid) src_uuid, coalesce(dst_uuid, src_uuid) dst_uuid, created_at FROM ({_ONE('mentions', 'uuid')})),
+_W = f"""WITH RECURSIVE en AS ({_ONE('entity', 'uuid', 'created_at', ['name', 'summary', 'created_at', 'group_id'])}), ep AS (SELECT id uuid, {_P('name')} AS name, {_P('content')} content, created_at FROM ({_ONE('episodes', 'id', 'updated_at', ['payload_json', 'created_at', 'updated_at'])})),
+me AS (SELECT uuid, src_uuid, dst_uuid, created_at, group_id FROM ({_ONE('(SELECT uuid, coalesce(src_uuid, dst_uuid) src_uuid, coalesce(dst_uuid, src_uuid) dst_uuid, created_at, group_id FROM mentions)', 'uuid', 'created_at', ['src_uuid', 'dst_uuid', 'created_at', 'group_id'])})),
 tok AS (SELECT uuid, coalesce(name, '') AS name, list_distinct(regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9_]+')) w FROM en),
 folds AS (SELECT * FROM (SELECT uuid victim_uuid, first_value(uuid) OVER (PARTITION BY coalesce(name, ''), coalesce(content, '') ORDER BY coalesce(created_at, ''), uuid) survivor_uuid FROM ep WHERE coalesce(uuid, '') <> '') WHERE victim_uuid <> survivor_uuid),
 mv AS (SELECT me.*, coalesce(f.survivor_uuid, src_uuid) new_src, f.survivor_uuid IS NOT NULL touched FROM me LEFT JOIN folds f ON f.victim_uuid = me.src_uuid),
 kk AS (SELECT id, nullif(lower(regexp_replace(source_node_uuid, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')), '') s, nullif(lower(regexp_replace(target_node_uuid, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')), '') t FROM dream_entity_undo_log),
 ed AS (SELECT DISTINCT s, t FROM kk WHERE s IS NOT NULL AND t IS NOT NULL), nd AS (SELECT s node FROM ed UNION SELECT t FROM ed),
 ad AS (SELECT s a, t b FROM ed WHERE s <> t UNION SELECT t, s FROM ed WHERE s <> t),
+rel AS (SELECT uuid, lead src_uuid, dst_uuid, created_at FROM (SELECT *, min(dst_uuid) OVER (PARTITION BY src_uuid) lead FROM me WHERE src_uuid IS NOT NULL AND dst_uuid IS NOT NULL) WHERE lead <> dst_uuid),
+last AS (SELECT s v, arg_max(t, (id, t)) r FROM kk WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY s), lk AS (SELECT * FROM last WHERE v <> r),
+pth(v, r, p) AS (SELECT v, r, [v] FROM lk UNION ALL SELECT pth.v, lk.r, list_append(p, pth.r) FROM pth JOIN lk ON lk.v = pth.r WHERE NOT list_contains(p, pth.r)),
+rt AS (SELECT v victim, CASE WHEN list_contains(p, r) THEN list_min(p[list_position(p, r):]) ELSE r END root FROM pth QUALIFY row_number() OVER (PARTITION BY v ORDER BY len(p) DESC) = 1), roots AS (SELECT * FROM rt WHERE victim <> root),
+rk AS (SELECT uuid, nullif(lower(regexp_replace(src_uuid, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')), '') s, nullif(lower(regexp_replace(dst_uuid, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')), '') t, created_at FROM rel),
+rm AS (SELECT rk.*, coalesce(a.root, s) ns, coalesce(b.root, t) nt, a.root IS NOT NULL OR b.root IS NOT NULL touched FROM rk LEFT JOIN roots a ON a.victim = s LEFT JOIN roots b ON b.victim = t),
 lab(v, l) USING KEY (v) AS (SELECT node, least(node, (SELECT min(b) FROM ad WHERE a = node)) FROM nd UNION SELECT ad.a, min(n.l) FROM recurring.lab n JOIN ad ON ad.b = n.v JOIN recurring.lab o ON o.v = ad.a GROUP BY ad.a, o.l HAVING min(n.l) < o.l)
 """
 _TRIM = r"regexp_replace(regexp_replace(coalesce(summary, ''), '^[\s\x1c-\x1f\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ''), '[\s\x1c-\x1f\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '')"
 _ORPH = f"orph AS (SELECT uuid, name, {_TRIM} = '' prunable, length({_TRIM}) chars FROM en WHERE uuid IS NOT NULL AND uuid NOT IN (SELECT dst_uuid FROM me WHERE dst_uuid IS NOT NULL))"
 ORACLES = {
+    "s2_group_mentions": _W + f"SELECT src_uuid, count(*) n FROM me WHERE dst_uuid IN (SELECT uuid FROM en WHERE group_id = '{GROUP}') GROUP BY 1",
+    "s3_relations": _W + f"SELECT src_uuid, count(*) n FROM rel WHERE src_uuid IN (SELECT uuid FROM en WHERE group_id = '{GROUP}') GROUP BY 1",
+    "d7_roots": _W + "SELECT victim, root FROM roots",
+    "d9_self_loops": _W + "SELECT uuid, ns node FROM rm WHERE touched AND ns = nt",
+    "d10_relation_drops": _W + "SELECT count(*) FILTER (touched AND ns <> nt) relations_moved, count(*) FILTER (touched AND ns = nt) self_loops, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) n FROM rm GROUP BY ns = nt, CASE WHEN ns = nt THEN s ELSE ns END, CASE WHEN ns = nt THEN t ELSE nt END HAVING count(*) > 1 AND bool_or(touched))) relations_dropped FROM rm",
+    "d12_relations_moved": _W + "SELECT uuid, ns src_uuid, nt dst_uuid, 'mentioned together' fact, created_at FROM rm WHERE NOT (touched AND ns = nt)",
+    "d13_extra_edges": _W + "SELECT uuid, ns src_uuid, nt dst_uuid FROM rm WHERE NOT (touched AND ns = nt) QUALIFY row_number() OVER (PARTITION BY ns, nt ORDER BY touched, created_at, uuid) = 1",
+    "r4_prune_counters": _W + "SELECT count(*) FILTER (h AND NOT u) deleted, count(*) FILTER (h AND u) skipped, count(*) FILTER (NOT h) gone FROM (SELECT uuid IN (SELECT uuid FROM en WHERE uuid IS NOT NULL) h, uuid IN (SELECT dst_uuid FROM me WHERE dst_uuid IS NOT NULL) u FROM (SELECT DISTINCT uuid FROM orphan WHERE uuid IS NOT NULL))",
     "d1_tokens": _W + "SELECT uuid, CAST(len(w) AS INTEGER) n_words FROM tok",
     "d3_pairs": _W + ", rep AS (SELECT name, list_sort(w) w, min(uuid) uuid FROM tok GROUP BY 1, 2), sc AS (SELECT a.uuid a, b.uuid b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) score FROM rep a JOIN rep b ON a.name = b.name AND a.uuid < b.uuid WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT a, b, round(score, 6) score FROM sc WHERE score >= 0.5",
     "d6_clusters": _W + "SELECT coalesce(name, '') AS name, count(*) n FROM en GROUP BY 1 HAVING count(*) > 1",

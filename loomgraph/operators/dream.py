@@ -52,16 +52,17 @@ def dream(graph: MemoryGraph, dead: DataFrame, run_id: str, now: str, force: boo
         undo = staged(D.undo_rows(g.entity, merges, run_id, now), "undo")
         if undo.count() < n:
             raise RuntimeError("fewer undo rows than victims")
-        entity, mentions = D.apply_merges(g.entity, g.mentions, merges)
-        state["undo"], state["graph"] = undo, MemoryGraph(staged(entity, "entity"), g.episodic, staged(mentions, "mentions"))
+        entity, mentions, relations = D.apply_merges(g.entity, g.mentions, merges, relations=g.relations)
+        state["undo"], state["graph"] = undo, MemoryGraph(staged(entity, "entity"), g.episodic, staged(mentions, "mentions"), relations)
         return f"COMPLETED: {n} merges"
 
     def prune() -> str:
         g = state["graph"]
-        used = P.referenced(g.mentions.select("dst_uuid"))
+        ends = [g.mentions.select("dst_uuid")] if g.relations is None else [g.mentions.select("dst_uuid"), g.relations.select("src_uuid"), g.relations.select("dst_uuid")]
+        used = P.referenced(*ends)
         n = P.orphans(g.entity, used).where("prunable").count()
         if force and n:
-            state["graph"] = MemoryGraph(staged(P.pruned(g.entity, used, True), "entity"), g.episodic, g.mentions)
+            state["graph"] = g._replace(entity=staged(P.pruned(g.entity, used, True), "entity"))
             state["pruned"] = n
         return f"COMPLETED: {n} {'pruned' if force else 'prunable'}"
 

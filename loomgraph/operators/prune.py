@@ -26,3 +26,11 @@ def pruned(entities: DataFrame, used: DataFrame, force: bool = False) -> DataFra
     if not force:
         return entities
     return entities.join(orphans(entities, used).where("prunable").select("uuid"), "uuid", "left_anti").select(*entities.columns)
+
+
+def prune_counters(planned: DataFrame, entities: DataFrame, used: DataFrame) -> DataFrame:
+    """One row on applying a plan (uuid): deleted, skipped as an edge has come since, gone already. used: (uuid)."""
+    own = planned.select("uuid").where("uuid is not null").distinct()
+    there = own.join(entities.select("uuid").distinct().withColumn("_there", F.lit(True)), "uuid", "left").join(used.withColumn("_used", F.lit(True)), "uuid", "left")
+    here = F.col("_there").isNotNull()
+    return there.agg(F.count_if(here & F.col("_used").isNull()).alias("deleted"), F.count_if(here & F.col("_used").isNotNull()).alias("skipped"), F.count_if(~here).alias("gone"))

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.text import stripped, utc_time
+from loomgraph.plans.skew import spread_join
 
 # Statuses, error codes, error signatures and messages of the queue.
 ACTIVE = ["queued", "processing"]
@@ -27,6 +28,8 @@ FATAL_CLASSES = ["TypeError", "ValueError", "KeyError", "ValidationError"]
 STUCK_ERROR = "Processing timeout exceeded"
 HELD_ERROR = "reaped: canonical hash already held by an active row"
 SKIPPED = "skipped_duplicate"
+MODES = ["off", "observe", "enforce"]
+LOCKED = "mcp_only"
 
 
 @dataclass(frozen=True)
@@ -132,17 +135,25 @@ def active_holders(episodes: DataFrame) -> DataFrame:
     return active.groupBy("hash").agg(F.max_by("id", F.struct("t", "id")).alias("existing_id"))
 
 
+def mode_of(mode: object) -> str:
+    """'off', 'observe' or 'enforce', in any letter case; a truth value that settings made of 'on' is 'observe'; anything else is 'off'."""
+    if mode is True:
+        return "observe"
+    text = str(mode).strip().lower()
+    return text if text in MODES else "off"
+
+
 def gate_enqueue(episodes: DataFrame, incoming: DataFrame, mode: str, now: str) -> tuple[DataFrame, DataFrame]:
     """(episodes to append, ledger rows) for incoming (id, payload_json, claimed_by, seq); seq is the order of arrival.
 
     off: all are kept, nothing is looked for. observe: all are kept, duplicates are recorded as detected. enforce: only
     the first of a hash is kept, and only if none is active; the others are recorded as rejected.
     """
-    if mode not in ("off", "observe", "enforce"):
-        raise ValueError(f"unknown mode {mode}")
+    mode = mode_of(mode)
     new = incoming.withColumn("canonical_hash", canonical_hash(F.col("payload_json")))
-    first = F.first("id").over(Window.partitionBy("canonical_hash").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, 0))
-    judged = new.withColumn("_first", F.when(F.col("canonical_hash").isNotNull(), first)).join(active_holders(episodes).withColumnRenamed("hash", "canonical_hash"), "canonical_hash", "left")
+    first = new.where(F.col("canonical_hash").isNotNull()).groupBy("canonical_hash").agg(F.min_by("id", F.struct("seq", "id")).alias("_first"))
+    known = first.join(active_holders(episodes).withColumnRenamed("hash", "canonical_hash"), "canonical_hash", "left")
+    judged = spread_join(new, known, "canonical_hash", "left")
     existing = F.coalesce("existing_id", F.when(F.col("_first") != F.col("id"), F.col("_first")))
     judged = judged.withColumn("existing_id", existing if mode != "off" else F.lit(None).cast("string"))
     kept = judged if mode != "enforce" else judged.where(F.col("existing_id").isNull())
@@ -156,6 +167,33 @@ def gate_enqueue(episodes: DataFrame, incoming: DataFrame, mode: str, now: str)
     return rows, ledger
 
 
+def daemon_enqueue(episodes: DataFrame, incoming: DataFrame, mode: str, now: str, lock_mode: str | None = None, writer: str = "daemon") -> tuple[DataFrame, DataFrame]:
+    """gate_enqueue for one writer, whose name every row gets; refused while the lock is kept for the other writers."""
+    if lock_mode == LOCKED:
+        raise PermissionError(f"lock mode {LOCKED}: this writer may not enqueue")
+    return gate_enqueue(episodes, incoming.withColumn("claimed_by", F.lit(writer)), mode, now)
+
+
+# lookups
+
+
+def looked_up(episodes: DataFrame, ident: str) -> DataFrame:
+    """The row of an id with its payload's fields as a map of texts; an unreadable payload, or one that is no object, is an empty map."""
+    fields = F.try_parse_json("payload_json").try_cast("map<string,string>")
+    return episodes.where(F.col("id") == ident).withColumn("payload", F.coalesce(fields, F.create_map().cast("map<string,string>"))).drop("payload_json")
+
+
+def letters_where(dead: DataFrame, open_only: bool | None = None, classes: list[str] | None = None) -> DataFrame:
+    """Dead letters: all, only the open, or (False) only the recovered ones; of the classes if any are named."""
+    rows = dead if open_only is None else dead.where(F.col("recovered_at").isNull() if open_only else F.col("recovered_at").isNotNull())
+    return rows.where(in_classes(F.col("last_error"), classes)) if classes else rows
+
+
+def ledger_recent(ledger: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest ledger rows, newest first; equal times go by the duplicate's id."""
+    return first_by_time(ledger, "detected_at", "duplicate_episode_id", limit, True)
+
+
 # picks
 
 
@@ -194,7 +232,9 @@ def free_to_activate(wanting: DataFrame, episodes: DataFrame, order: list[Column
     # a row doesn't stand in its own way
     other = F.col("_lo").isNotNull() & ((F.col("_lo") != F.col("id")) | (F.col("_hi") != F.col("id")))
     free = joined.withColumn("_taken", guarded & other)
-    rank = F.row_number().over(Window.partitionBy("canonical_hash", guarded, "_taken").orderBy(*order))
+    # rows that need no rank are partitions of their own: no task gets all rows without a hash
+    alone = F.concat(F.lit("id "), F.coalesce("id", F.lit("")))
+    rank = F.row_number().over(Window.partitionBy(F.when(guarded & ~F.col("_taken"), F.concat(F.lit("hash "), "canonical_hash")).otherwise(alone)).orderBy(*order))
     return free.withColumn("_rank", rank).where(~guarded | (~F.col("_taken") & (F.col("_rank") == 1))).select(*wanting.columns)
 
 
@@ -249,6 +289,24 @@ def replay_batch(episodes: DataFrame, dead: DataFrame, now: str, limit: int = 50
     return queued, closed
 
 
+def replay_one(episodes: DataFrame, dead: DataFrame, ident: str, now: str, policy: RetryPolicy = RetryPolicy()) -> tuple[DataFrame, DataFrame]:
+    """(new episode row, closed letter) of one letter replayed by hand: none if it is unknown, permanent, or its payload is active.
+
+    Neither a letter that is closed already nor an episode that is done stops it; attempts start again at 0.
+    """
+    letter = dead.where((F.col("episode_id") == ident) & retryable(F.col("last_error"), policy))
+    wanted = episodes.where(F.col("id") == ident).join(letter.select(F.col("episode_id").alias("id")), "id", "left_semi").select(*episodes.columns)
+    free = free_to_activate(wanted, episodes, [F.col("id")])
+    queued = free.withColumns({"status": F.lit("queued"), "attempt_count": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "enqueued_at": F.lit(now), "updated_at": F.lit(now), "last_replay_at": F.lit(now)})
+    closed = letter.join(free.select(F.col("id").alias("episode_id")), "episode_id", "left_semi").select(*dead.columns).withColumns({"recovered_at": F.lit(now), "recovered_attempts": F.col("attempt_count")})
+    return queued, closed
+
+
+def checkpointed(rows: DataFrame, text: Column, now: str) -> DataFrame:
+    """Rows with their checkpoint text set."""
+    return rows.withColumns({"checkpoint": text, "updated_at": F.lit(now)})
+
+
 def mark_done(rows: DataFrame, dead: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(done rows, closed letters) of finished episodes."""
     done = rows.withColumns({"status": F.lit("done"), "consecutive_failures": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "finished_at": F.lit(now), "updated_at": F.lit(now)})
@@ -288,6 +346,14 @@ def dedup_stats(episodes: DataFrame, ledger_hits: int = 0) -> DataFrame:
     return rows.join(F.broadcast(groups)).withColumn("observed_hits", F.lit(ledger_hits).cast("long"))  # one row each
 
 
+def adapter_stats(episodes: DataFrame, dead: DataFrame) -> DataFrame:
+    """(part, name, n): rows by status, open letters, and active rows that a writer has claimed."""
+    by_status = episodes.groupBy(F.col("status").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("by_status").alias("part"), "name", "n")
+    one = lambda rows, part: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), F.lit(None).cast("string").alias("name"), "n")
+    claimed = episodes.where(F.col("status").isin(ACTIVE) & F.col("claimed_by").isNotNull())
+    return by_status.unionByName(one(open_letters(dead), "dlq_open")).unionByName(one(claimed, "claimed_active"))
+
+
 def reap_fairness(episodes: DataFrame, max_attempts: int = 3) -> DataFrame:
     """One row on all failed and aborted episodes: how many, exhausted, replayed before, their rate, oldest and newest."""
     t = utc_time(F.col("enqueued_at"))

@@ -45,6 +45,30 @@ def a8_adapter_stats(e: DataFrame) -> DataFrame:
     return e.where(F.col("status").isin(Q.ACTIVE) & F.col("claimed_by").isNotNull()).groupBy("status", "claimed_by").agg(F.count(F.lit(1)).alias("n"))
 
 
+def s6_lookup(e: DataFrame) -> DataFrame:
+    """The row of the first id with its payload's name."""
+    first = e.agg(F.min("id")).first()[0]
+    return Q.looked_up(e, first).select("id", "status", F.try_element_at("payload", F.lit("name")).alias("name"))
+
+
+def pred5_recovered(d: DataFrame) -> DataFrame:
+    """Recovered letters of two classes."""
+    return Q.letters_where(d, False, ["timeout", "Error_code"]).select("episode_id")
+
+
+def m15_replay_one(e: DataFrame, d: DataFrame) -> DataFrame:
+    """The first letter whose episode is there, replayed by hand."""
+    both = d.select(F.col("episode_id").alias("id"), "last_error").where(Q.retryable(F.col("last_error"))).join(e.select("id"), "id").agg(F.min("id")).first()[0]
+    queued, closed = Q.replay_one(e, d, both or "", NOW)
+    return queued.select("id", "status", "attempt_count", "enqueued_at").join(closed.select(F.col("episode_id").alias("id"), "recovered_attempts"), "id", "left")
+
+
+def m11_checkpoints(e: DataFrame) -> DataFrame:
+    """Processing rows with a checkpoint that names their attempt."""
+    rows = e.where("status = 'processing'")
+    return Q.checkpointed(rows, F.concat(F.lit("attempt "), F.col("attempt_count").cast("string")), NOW).select("id", "checkpoint", "updated_at")
+
+
 def pred1_retryable(e: DataFrame) -> DataFrame:
     """Failed and aborted rows by whether their error may run again."""
     return e.where(F.col("status").isin("failed", "aborted")).groupBy("last_error", Q.retryable(F.col("last_error")).alias("may")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,6 +189,22 @@ def _gate(mode: str, part: int):
     return run
 
 
+def m1_off_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended with an unknown mode, which is off."""
+    return Q.gate_enqueue(_episodes(spark, sf_dir), _arrivals(spark, sf_dir), "sometimes", NOW)[0].select("id", "payload_hash", "dedup_gate")
+
+
+def m7_daemon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the daemon appends under enforcement."""
+    return Q.daemon_enqueue(_episodes(spark, sf_dir), _arrivals(spark, sf_dir), "Enforce", NOW, "shared")[0].groupBy("claimed_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+def o5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest ledger rows of an enforced batch."""
+    ledger = Q.gate_enqueue(_episodes(spark, sf_dir), _arrivals(spark, sf_dir), "enforce", NOW)[1]
+    return Q.ledger_recent(ledger, 15).select("action", "existing_episode_id", "duplicate_episode_id")
+
+
 def k3_dream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs folded from their start and final rows: the first start, the last of every other field that is there."""
     rows = table(spark, sf_dir, "dream_runs").where(F.col("run_id").isNotNull())
@@ -180,7 +220,7 @@ def o6_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "a1_status_counts": _on(Q.status_counts, "e", "d"), "a2_total_rows": _on(a2_total_rows, "e"), "a3_dedup_stats": _on(Q.dedup_stats, "e"), "a4_reap_fairness": _on(a4_reap_fairness, "e"), "a5_class_counts": _on(lambda d: Q.class_counts(d, CLASSES), "d"), "a7_breakdown": _on(lambda d: Q.breakdown(d, CLASSES), "d"), "a8_adapter_stats": _on(a8_adapter_stats, "e"),
+    "a1_status_counts": _on(Q.status_counts, "e", "d"), "a2_total_rows": _on(a2_total_rows, "e"), "a3_dedup_stats": _on(Q.dedup_stats, "e"), "a4_reap_fairness": _on(a4_reap_fairness, "e"), "a5_class_counts": _on(lambda d: Q.class_counts(d, CLASSES), "d"), "a7_breakdown": _on(lambda d: Q.breakdown(d, CLASSES), "d"), "a8_adapter_stats": _on(Q.adapter_stats, "e", "d"), "a8_claimed": _on(a8_adapter_stats, "e"), "s6_lookup": _on(s6_lookup, "e"), "pred5_recovered": _on(pred5_recovered, "d"), "m15_replay_one": _on(m15_replay_one, "e", "d"), "m11_checkpoints": _on(m11_checkpoints, "e"), "m1_off_rows": m1_off_rows, "m7_daemon_rows": m7_daemon_rows, "o5_ledger": o5_ledger,
     "pred1_retryable": _on(pred1_retryable, "e"), "pred2_allowlist": _on(pred2_allowlist, "e"), "pred4_like_classes": _on(pred4_like_classes, "d"), "pred6_old_letters": _on(pred6_old_letters, "d"), "pred15_cut_errors": _on(pred15_cut_errors, "d"),
     "o1_claim": _on(o1_claim, "e"), "o2_reap_pick": _on(o2_reap_pick, "e", "d"), "o3_replay_pick": _on(o3_replay_pick, "d"), "o4_dead_letters": _on(o4_dead_letters, "d"), "o6_recent_runs": o6_recent_runs, "o7_holders": _on(o7_holders, "e"),
     "m2_observe_rows": _gate("observe", 0), "m2_observe_ledger": _gate("observe", 1), "m3_enforce_rows": _gate("enforce", 0), "m3_enforce_ledger": _gate("enforce", 1),
@@ -214,7 +254,15 @@ ORACLES = {
     "a4_reap_fairness": _WITH + f"SELECT count(*) eligible, count(*) FILTER (attempt_count >= 3) exhausted, count(last_replay_at) repeated_turns, round_even(count(last_replay_at) / count(*), 4) repeat_rate, min({_T('enqueued_at')}) oldest, max({_T('enqueued_at')}) newest FROM e WHERE status IN ('failed', 'aborted')",
     "a5_class_counts": _WITH + " UNION ALL ".join(f"SELECT '{c}' AS class, count(*) FILTER ({_IN(c)}) n FROM o" for c in CLASSES),
     "a7_breakdown": _WITH + f"SELECT count(*) open, count(*) FILTER ({_ANY}) classified, count(*) - count(*) FILTER ({_ANY}) unclassified FROM o",
-    "a8_adapter_stats": _WITH + "SELECT status, claimed_by, count(*) n FROM e WHERE status IN ('queued', 'processing') AND claimed_by IS NOT NULL GROUP BY 1, 2",
+    "a8_adapter_stats": _WITH + "SELECT 'by_status' part, status AS name, count(*) n FROM e GROUP BY status UNION ALL SELECT 'dlq_open', NULL, count(*) FROM o UNION ALL SELECT 'claimed_active', NULL, count(*) FROM e WHERE claimed_by IS NOT NULL AND status IN ('queued', 'processing')",
+    "s6_lookup": _WITH + f"SELECT id, status, {_JP('name')} AS name FROM e WHERE id = (SELECT min(id) FROM e)",
+    "pred5_recovered": _WITH + f"SELECT episode_id FROM d WHERE recovered_at IS NOT NULL AND ({_IN('timeout')} OR {_IN('Error_code')})",
+    "m15_replay_one": _WITH + f", pk AS (SELECT min(id) i FROM e JOIN d ON d.episode_id = e.id WHERE d.last_error IS NULL OR (instr(lower(d.last_error), 'error code: 404') = 0 AND instr(lower(d.last_error), 'error code: 402') = 0)), {_HELD} SELECT id, 'queued' status, CAST(0 AS BIGINT) attempt_count, '{NOW}' enqueued_at, (SELECT attempt_count FROM d WHERE episode_id = e.id) recovered_attempts FROM e WHERE id = (SELECT i FROM pk) AND NOT coalesce(dedup_gate = 'enforce' AND EXISTS (SELECT 1 FROM held WHERE h = e.canonical_hash AND hid <> e.id), false)",
+    "m11_checkpoints": _WITH + f"SELECT id, 'attempt ' || attempt_count checkpoint, '{NOW}' updated_at FROM e WHERE status = 'processing'",
+    "m1_off_rows": _WITH + f", {_ARR} SELECT id, CAST(NULL AS VARCHAR) payload_hash, 'off' dedup_gate FROM j",
+    "m7_daemon_rows": _WITH + f", {_ARR} SELECT 'daemon' claimed_by, count(*) n FROM j WHERE ex IS NULL",
+    "o5_ledger": _WITH + f", {_ARR} SELECT 'rejected' action, ex existing_episode_id, id duplicate_episode_id FROM j WHERE ex IS NOT NULL ORDER BY id LIMIT 15",
+    "a8_claimed": _WITH + "SELECT status, claimed_by, count(*) n FROM e WHERE status IN ('queued', 'processing') AND claimed_by IS NOT NULL GROUP BY 1, 2",
     "pred1_retryable": _WITH + f"SELECT last_error, {_MAY} may, count(*) n FROM e WHERE status IN ('failed', 'aborted') GROUP BY 1, 2",
     "pred2_allowlist": _WITH + f"SELECT count(*) FILTER (last_error IS NULL OR ({_IN('Error code: 500')} AND {_IN('InternalServerError')})) AS both, count(*) FILTER (last_error IS NULL OR ({_IN('Error code: 500')} AND {_IN('timeout')})) two, count(*) FILTER (last_error IS NULL OR {_IN('Error code: 500')} OR {_IN('timeout')}) any_of_two FROM e",
     "pred4_like_classes": _WITH + f"SELECT count(*) FILTER ({_IN('error_code')}) as_text, count(*) FILTER (lower(last_error) LIKE '%error_code%') as_pattern FROM o",

@@ -11,7 +11,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.sources.tables import table
+from loomgraph.plans.skew import spread_join
+from loomgraph.sources.tables import latest, table
 
 
 class Graph(NamedTuple):
@@ -23,11 +24,12 @@ class Graph(NamedTuple):
 
 
 class MemoryGraph(NamedTuple):
-    """Entities, episodic nodes and the mentions between them, each row once by its key."""
+    """Entities, episodic nodes, the mentions between them and the relations (fact edges) between entities, each row once by its key."""
 
     entity: DataFrame
     episodic: DataFrame
     mentions: DataFrame
+    relations: DataFrame | None = None
 
 
 def _key(kind: str, column: str):
@@ -72,16 +74,33 @@ edges AS (
 """
 
 
+def co_mentions(mentions: DataFrame) -> DataFrame:
+    """Relations (uuid, src_uuid, dst_uuid, name, fact, created_at, valid_at, group_id, episodes) among what an episode mentions: its lowest entity to each other one.
+
+    A relation has the uuid, time and group of the mention that it comes from. Mentions without an end give none.
+    """
+    own = mentions.where("src_uuid is not null and dst_uuid is not null")
+    first = own.groupBy("src_uuid").agg(F.min("dst_uuid").alias("_first"))
+    each = spread_join(own, first, "src_uuid").where(F.col("dst_uuid") != F.col("_first"))
+    return each.select("uuid", F.col("_first").alias("src_uuid"), "dst_uuid", F.lit("CO_MENTIONED").alias("name"), F.lit("mentioned together").alias("fact"), "created_at", F.col("created_at").alias("valid_at"), "group_id", F.array("src_uuid").alias("episodes"))
+
+
 def memory_graph(spark: SparkSession, sf_dir: str, group: str | None = None) -> MemoryGraph:
-    """Entities, episodes and mentions, repeats removed; ``group`` keeps one group's (a mention's group is its own).
+    """Entities, episodes, mentions and relations: of repeats the latest, rows without a key all.
 
-    An endpoint that is missing falls back to the other one. The payload's content and source are columns of an episode.
+    ``group`` keeps one group's: a mention goes with its destination's group, a relation with its source's, an entity
+    and an episode with their own. An endpoint that is missing falls back to the other one. The payload's content and source are columns of an episode.
     """
-    entity = table(spark, sf_dir, "entity").select("uuid", "name", "summary", "created_at", "group_id").dropDuplicates(["uuid"])
+    entity = latest(table(spark, sf_dir, "entity").select("uuid", "name", "summary", "created_at", "group_id"), "uuid", "created_at")
     payload = F.try_parse_json("payload_json")
     text = lambda k: F.try_variant_get(payload, f"$.{k}", "string")
-    episodic = table(spark, sf_dir, "episodes").dropDuplicates(["id"]).select(F.col("id").alias("uuid"), text("name").alias("name"), text("content").alias("content"), "created_at", text("source_description").alias("source_description"), text("group_id").alias("group_id"))
-    mentions = table(spark, sf_dir, "mentions").dropDuplicates(["uuid"]).select("uuid", F.coalesce("src_uuid", "dst_uuid").alias("src_uuid"), F.coalesce("dst_uuid", "src_uuid").alias("dst_uuid"), "created_at", "group_id")
+    episodes = latest(table(spark, sf_dir, "episodes").select("id", "payload_json", "created_at", "updated_at"), "id", "updated_at")
+    episodic = episodes.select(F.col("id").alias("uuid"), text("name").alias("name"), text("content").alias("content"), "created_at", text("source_description").alias("source_description"), text("group_id").alias("group_id"))
+    mentions = latest(table(spark, sf_dir, "mentions").select("uuid", F.coalesce("src_uuid", "dst_uuid").alias("src_uuid"), F.coalesce("dst_uuid", "src_uuid").alias("dst_uuid"), "created_at", "group_id"), "uuid", "created_at")
+    relations = co_mentions(mentions)
     if group is not None:
-        entity, episodic, mentions = (f.where(F.col("group_id") == group) for f in (entity, episodic, mentions))
-    return MemoryGraph(entity, episodic, mentions)
+        entity, episodic = (f.where(F.col("group_id") == group) for f in (entity, episodic))
+        known = entity.select("uuid").where("uuid is not null").distinct()
+        mentions = spread_join(mentions, known.withColumnRenamed("uuid", "dst_uuid"), "dst_uuid").select(*mentions.columns)
+        relations = spread_join(relations, known.withColumnRenamed("uuid", "src_uuid"), "src_uuid").select(*relations.columns)
+    return MemoryGraph(entity, episodic, mentions, relations)

@@ -115,9 +115,9 @@ def test_greedy_chain_matches_brute_force(spark, seed):
 
 
 def test_known_pair_merges_and_unrelated_does_not(spark):
-    helper = "Inline python3 usage in the Signet helper was removed in favor of the get_github_tags_sorted sorting helper."
-    again = "Inline python3 usage was removed in favor of the new sorting helper get_github_tags_sorted()."
-    df = spark.createDataFrame([("u1", "Signet helper", helper, "t"), ("u2", "Signet helper", again, "t"), ("u3", "Signet helper", "something else", "t")], "uuid string, name string, summary string, created_at string")
+    helper = "The harbour crane log moved from paper slips to the tide_ledger sheet that the night crew keeps."
+    again = "The crane log moved from paper slips to the tide_ledger sheet that the night crew keeps."
+    df = spark.createDataFrame([("u1", "crane log", helper, "t"), ("u2", "crane log", again, "t"), ("u3", "crane log", "something else", "t")], "uuid string, name string, summary string, created_at string")
     assert rows_of(D.greedy_merges(df, 0.75).select("survivor_uuid", "victim_uuid")) == [("u1", "u2")]
 
 
@@ -126,11 +126,43 @@ def test_chains_and_rings_of_merges(spark):
     assert rows_of(D.roots(m)) == [("a", "d"), ("b", "d"), ("c", "d"), ("y", "x"), ("z", "x")]
 
 
+def test_what_leads_into_a_ring_ends_at_its_lowest(spark):
+    tail = [(f"t{i + 1:02}", f"t{i:02}") for i in range(20)] + [("v", "t20"), ("w", "v"), ("v", "w")]
+    m = spark.createDataFrame(tail, "survivor_uuid string, victim_uuid string")
+    assert rows_of(D.roots(m)) == sorted([(f"t{i:02}", "v") for i in range(21)] + [("w", "v")])
+
+
+def test_relations_move_and_count(spark):
+    r = spark.createDataFrame([("r1", "u1", "u2", "f", "1"), ("r2", "u2", "u1", "f", "1"), ("r3", "x", "u1", "f", "2"), ("r4", "x", "u2", "f", "1"), ("r5", "x", "u2", None, "1"), ("r6", "p", "q", "f", "1"), ("r7", "p", "q", "f", "2"), ("r8", "p", "p", "f", "1"), ("r9", "u1", "u2", "g", "1")], "uuid string, src_uuid string, dst_uuid string, fact string, created_at string").withColumn("extra", F.lit(7))
+    moves = spark.createDataFrame([("u2", "u1")], "victim string, root string")
+    assert rows_of(D.relation_counters(r, moves)) == [(2, 3, 2)]
+    kept = D.apply_relations(r, moves)
+    assert kept.columns == r.columns and rows_of(kept.select("uuid", "src_uuid", "dst_uuid")) == [("r3", "x", "u1"), ("r5", "x", "u1"), ("r6", "p", "q"), ("r7", "p", "q"), ("r8", "p", "p")]
+    assert rows_of(D.apply_relations(r, moves, touched_only=False).select("uuid")) == [("r3",), ("r5",), ("r6",), ("r8",)]
+
+
+def test_low_similarities_are_reported(spark):
+    e = spark.createDataFrame([("a", "n", " ".join(f"w{i}" for i in range(20)), "1"), ("b", "n", "w1 x1 x2 x3 x4 x5 x6 x7 x8 x9", "1"), ("c", "m", "y", "1")], "uuid string, name string, summary string, created_at string")
+    assert D.highest_similarity(D.word_sets(e)).first()[0] == round(1 / 29, 4)
+    assert D.highest_similarity(D.word_sets(e.where("uuid != 'b'"))).first()[0] == 0
+
+
+def test_edgeless_folds_may_be_refused(spark):
+    folds = spark.createDataFrame([("n", "a", "b")], "name string, survivor_uuid string, victim_uuid string")
+    some = lambda x: spark.createDataFrame([(x,)], "src_uuid string")
+    assert [D.foldable(folds, some(x), e).count() for x, e in (("b", False), ("z", False), ("z", True))] == [1, 0, 1]
+
+
+def test_prune_counters(spark):
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "uuid string")
+    assert rows_of(P.prune_counters(ids("abcd"), ids("abcx"), ids("bx"))) == [(2, 1, 1)]
+
+
 def test_apply_moves_and_drops_only_made_doubles(spark):
     e = spark.createDataFrame([("u1", "n", "s", "t", "g"), ("u2", "n", "s", "t", "g")], "uuid string, name string, summary string, created_at string, group_id string")
     m = spark.createDataFrame([("m1", "e1", "u2", "1"), ("m2", "e1", "u1", "2"), ("m3", "e2", "u1", "1"), ("m4", "e2", "u1", "2")], "uuid string, src_uuid string, dst_uuid string, created_at string")
     merges = spark.createDataFrame([("u1", "u2")], "survivor_uuid string, victim_uuid string")
-    entities, mentions = D.apply_merges(e, m, merges)
+    entities, mentions, _ = D.apply_merges(e, m, merges)
     assert rows_of(entities.select("uuid")) == [("u1",)]
     assert rows_of(mentions.select("uuid", "dst_uuid")) == [("m2", "u1"), ("m3", "u1"), ("m4", "u1")]
     assert D.collisions(D.redirected(m, D.roots(merges), ["dst_uuid"]), ["src_uuid", "dst_uuid"]).first()["drops"] == 1

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.repair import repair_json, rule_for
 from loomgraph.operators.dream import dream
-from loomgraph.operators.job_queries import PAYLOADS
 from loomgraph.plans.skew import spread_join
 from loomgraph.plans.versions import VersionedTable
 from loomgraph.sources.graph import MemoryGraph
@@ -15,6 +14,24 @@ from tests.conftest import rows_of
 
 NOW = "2026-10-20T00:00:00+00:00"
 
+# drifted payloads and what they repair to
+PAYLOADS = [
+    ("SummarizedEntities", '{"summary_list":[{"name":"Harbour"}]}', '{"summaries":[{"name":"Harbour","summary":""}]}'),
+    ("SummarizedEntities", '{"properties":{"summaries":[{"summary":"tides"}]},"lang":"en"}', '{"summaries":[{"summary":"tides","name":"<unnamed>"}]}'),
+    ("SummarizedEntities", '{"SummarizedEntities":{"name":"Quay","summary":"long"}}', '{"summaries":[{"name":"Quay","summary":"long"}]}'),
+    ("SummarizedEntities", '"[{\\"name\\":\\"Pier\\"}]"', '{"summaries":[{"name":"Pier","summary":""}]}'),
+    ("SummarizedEntities", '{"unrelated":1}', '{"summaries":[]}'),
+    ("ExtractedEntities", '[{"name":"Crane","entity_type_id":"12","episode_indices":"5"},"Dock",{"entity_type_id":false}]', '{"extracted_entities":[{"name":"Crane","entity_type_id":12,"episode_indices":[5]},{"name":"Dock","entity_type_id":0,"episode_indices":[0]},{"entity_type_id":0,"episode_indices":[0],"name":"<unnamed>"}]}'),
+    ("ExtractedEntities", "{cut off", '{"extracted_entities":[]}'),
+    ("EdgeDuplicate", '{"dup_idx":"(9; 8, seven)","contradictions":[null,"6",5.5]}', '{"duplicate_facts":[9,8],"contradicted_facts":[6,5]}'),
+    ("EdgeDuplicate", '{"properties":{"duplicates":true},"contra_idx":" EMPTY "}', '{"duplicate_facts":[1],"contradicted_facts":[]}'),
+    ("ExtractedEdges", '{"relations":[{"fact":"tug pulls barge"}],"run":3}', '{"edges":[{"fact":"tug pulls barge"}],"run":3}'),
+    ("ExtractedEdges", None, '{"edges":[]}'),
+    ("NodeResolutions", '{"name":"Buoy","id":4}', '{"entity_resolutions":[{"name":"Buoy","id":4}]}'),
+    ("NodeResolutions", '{"nodes":"none"}', '{"entity_resolutions":[]}'),
+    ("Weather", "{}", None),
+]
+
 
 @pytest.mark.parametrize(("schema", "payload", "want"), PAYLOADS)
 def test_repairs(schema, payload, want):

@@ -67,8 +67,27 @@ def test_gate(spark):
     for mode, kept, said in (("off", 5, []), ("observe", 5, [("n1", "old"), ("n3", "n2")]), ("enforce", 3, [("n1", "old"), ("n3", "n2")])):
         rows, ledger = Q.gate_enqueue(e, new, mode, NOW)
         assert rows.count() == kept and rows_of(ledger.select("duplicate_episode_id", "existing_episode_id")) == said
-    with pytest.raises(ValueError):
-        Q.gate_enqueue(e, new, "maybe", NOW)
+    rows, ledger = Q.gate_enqueue(e, new, "maybe", NOW)
+    assert rows.count() == 5 and ledger.count() == 0 and rows.first()["dedup_gate"] == "off"
+    assert [Q.mode_of(x) for x in (True, False, " ENFORCE ", None, 3)] == ["observe", "off", "enforce", "off", "off"]
+    with pytest.raises(PermissionError):
+        Q.daemon_enqueue(e, new, "off", NOW, "mcp_only")
+    assert {r["claimed_by"] for r in Q.daemon_enqueue(e, new, "off", NOW, None, "d1")[0].collect()} == {"d1"}
+
+
+def test_replay_one_and_lookup(spark):
+    held = {"canonical_hash": "h", "dedup_gate": "enforce"}
+    e = episodes(spark, {"id": "a", "status": "done", "attempt_count": 5, "payload_json": '{"name":"x","n":1}'}, {"id": "p", "status": "aborted", "payload_json": "{"}, {"id": "w", "status": "aborted", **held}, {"id": "q", "status": "queued", **held})
+    d = letters(spark, {"episode_id": "a", "attempt_count": 5, "recovered_at": NOW}, {"episode_id": "p", "last_error": "Error code: 402"}, {"episode_id": "w"}, {"episode_id": "gone"})
+    got = {i: tuple(x.count() for x in Q.replay_one(e, d, i, NOW)) for i in ("a", "p", "w", "gone", "none")}
+    assert got == {"a": (1, 1), "p": (0, 0), "w": (0, 0), "gone": (0, 0), "none": (0, 0)}
+    assert [Q.looked_up(e, i).first()["payload"] for i in ("a", "p")] == [{"name": "x", "n": "1"}, {}]
+    assert [Q.letters_where(d, x).count() for x in (None, True, False)] == [4, 3, 1]
+
+
+def test_rows_without_a_hash_are_no_group(spark):
+    e = episodes(spark, *[{"id": f"i{n}", "status": "failed", "dedup_gate": "enforce"} for n in range(5)], *[{"id": f"h{n}", "status": "failed", "dedup_gate": "enforce", "canonical_hash": "h"} for n in range(3)])
+    assert {r["id"] for r in Q.free_to_activate(e, e, [F.col("id")]).collect()} == {"i0", "i1", "i2", "i3", "i4", "h0"}
 
 
 def test_replay(spark):

@@ -20,9 +20,9 @@ def test_order_at_the_ends(spark, lam, order):
 
 
 def test_mixed_order_follows_the_formula(spark):
-    rows = [("high_far", 0.95, 3), ("mid_near", 0.60, 1), ("low_near", 0.30, 1)]
-    got = rerank(scored(spark, rows), 0.7, 10).collect()
-    assert [(r["fact"], round(r["score"], 2)) for r in got] == [("high_far", 0.59), ("mid_near", 0.27), ("low_near", -0.21)]
+    rows = [("p", 0.9, 2), ("q", 0.85, 1), ("r", 0.5, 1)]
+    got = rerank(scored(spark, rows), 0.5, 10).collect()
+    assert [(r["fact"], round(r["score"], 2)) for r in got] == [("q", 0.6), ("p", 0.5), ("r", -0.1)]
 
 
 def test_floor_is_inclusive_and_drops_unscored(spark):
