@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.operators.catalog import blocked_keyword, get_entity, list_entities
-from loomgraph.operators.traverse import SCORED_FACTS, TRAIL_ORDER, rerank, scored, search_request, seeds_found, trail_facts, trails
+from loomgraph.operators.traverse import SCORED_FACTS, TRAIL_ORDER, found_facts, rerank, scored, search_request, seeds_found, trails
+from loomgraph.plans.staging import staged
 from loomgraph.sources.graph import TRADE_SQL, Graph, trade_graph
 from loomgraph.sources.tables import table
 
@@ -19,7 +20,8 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def _vectors(graph: Graph, facts: DataFrame) -> DataFrame:
     """Vectors of the facts at hand: an edge's number picks one of the stored vectors."""
-    numbers = facts.select("eid").distinct().withColumn("number", F.aggregate(F.regexp_extract_all("eid", F.lit(r"\d+"), F.lit(0)), F.lit(7).cast("long"), lambda s, x: F.pmod(s * 31 + x.cast("long"), F.lit(499))))
+    many = graph.vectors.count()
+    numbers = facts.select("eid").distinct().withColumn("number", F.aggregate(F.regexp_extract_all("eid", F.lit(r"\d+"), F.lit(0)), F.lit(7).cast("long"), lambda s, x: F.pmod(s * 31 + x.cast("long"), F.lit(max(many, 1)))))
     return numbers.join(graph.vectors, "number").select("eid", "fact_embedding")
 
 
@@ -36,25 +38,25 @@ def g2_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g7_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a two-hop traversal, capped after ordering."""
-    return _shown(trail_facts(trails(trade_graph(spark, sf_dir), SEEDS, 2)))
+    return _shown(found_facts(trade_graph(spark, sf_dir), SEEDS, 2))
 
 
 def g3_live_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hop over live edges only."""
-    return _shown(trail_facts(trails(trade_graph(spark, sf_dir), SEEDS, 1, live_only=True)))
+    return _shown(found_facts(trade_graph(spark, sf_dir), SEEDS, 1, live_only=True))
 
 
 def g10_typed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hop over edges of one type."""
-    return _shown(trail_facts(trails(trade_graph(spark, sf_dir), SEEDS, 1, edge_types=["RELATES_TO"])))
+    return _shown(found_facts(trade_graph(spark, sf_dir), SEEDS, 1, edge_types=["RELATES_TO"]))
 
 
 def _search(lam: float, min_cosine: float | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = trade_graph(spark, sf_dir)
         request = search_request(SEEDS, 2, min_cosine, lam, 20)
-        facts = trail_facts(trails(graph, request.seeds, request.max_hops))
-        trimmed = facts.orderBy(*TRAIL_ORDER).limit(SCORED_FACTS)
+        facts = found_facts(graph, request.seeds, request.max_hops)
+        trimmed = staged(facts.orderBy(*TRAIL_ORDER).limit(SCORED_FACTS), "first")  # read for their vectors and for their scores
         return _shown(rerank(scored(trimmed, _vectors(graph, trimmed), _query_vector(spark, sf_dir)), request.rerank_lambda, request.limit, request.min_cosine))
 
     run.__doc__ = f"Traversal search with lambda {lam} and cosine floor {min_cosine}."
@@ -69,7 +71,7 @@ def s7_seed_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g12_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a scored row lacks its cosine, and whether a cap was reached."""
     graph = trade_graph(spark, sf_dir)
-    facts = trail_facts(trails(graph, SEEDS, 2))
+    facts = staged(found_facts(graph, SEEDS, 2), "facts")
     rows = scored(facts, _vectors(graph, facts), _query_vector(spark, sf_dir))
     count = facts.agg(F.count(F.lit(1)).alias("facts"))
     flags = rows.agg(F.count(F.lit(1)).alias("scored"), F.coalesce(F.bool_or(F.col("cosine").isNull()), F.lit(False)).alias("degraded"))
@@ -123,7 +125,7 @@ facts AS (
 
 _SCORED = """,
 first AS (SELECT * FROM facts ORDER BY hop, fact, trail, place LIMIT 200),
-num AS (SELECT *, list_reduce(list_prepend(CAST(7 AS BIGINT), list_transform(regexp_extract_all(eid, '\\d+'), lambda x: CAST(x AS BIGINT))), lambda s, x: (s * 31 + x) % 499) number FROM first),
+num AS (SELECT *, list_reduce(list_prepend(CAST(7 AS BIGINT), list_transform(regexp_extract_all(eid, '\\d+'), lambda x: CAST(x AS BIGINT))), lambda s, x: (s * 31 + x) % many) number FROM first, (SELECT count(*) many FROM embeddings)),
 sc AS (SELECT n.*, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) cosine FROM num n LEFT JOIN embeddings e ON e.vec_id = n.number)
 """
 _COLS = "fact, source, target, edge_type, hop, path, trail, place"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.text import stripped
 from loomgraph.functions.vector import cosine
+from loomgraph.plans.staging import staged
 from loomgraph.sources.graph import Graph
 
 #: Rows of a traversal, and rows of these that are scored, at most: features of the search.
@@ -65,29 +66,64 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("eid", "edge_type", "fact", F.explode(F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))).alias("w")).select("w.a", "w.b", "eid", "edge_type", "fact")
 
 
-def trails(graph: Graph, seeds: list[str], max_hops: int, live_only: bool = False, edge_types: list[str] | None = None) -> DataFrame:
-    """All trails of 1 to ``max_hops`` edges from nodes named as a seed: names (array), steps (array of eid, edge_type, fact).
+STEP = "struct<eid:string,edge_type:string,fact:string>"
 
-    live_only and edge_types restrict the edges; by default none is left out.
-    """
+
+def _half_edges(graph: Graph, live_only: bool, edge_types: list[str] | None) -> DataFrame:
+    """The edges that a search may take, from both ends."""
     edges = graph.edges
     if live_only:
         edges = edges.where(F.col("invalid_at").isNull())
     if edge_types:
         edges = edges.where(F.coalesce("edge_type", F.lit("RELATES_TO")).isin(edge_types))
-    half = symmetric(edges)
-    nodes = graph.nodes.select(F.col("uuid").alias("b"), F.col("name").alias("b_name"), F.nullif(F.col("summary"), F.lit("")).alias("b_summary"))
-    step = "struct<eid:string,edge_type:string,fact:string>"
-    at = graph.nodes.where(F.col("name").isin(list(dict.fromkeys(seeds)))).select(F.col("uuid").alias("a"), F.array("name").alias("names"), F.array().cast(f"array<{step}>").alias("steps"))
-    found = None
+    return symmetric(edges)
+
+
+def _seeded(graph: Graph, seeds: list[str]) -> DataFrame:
+    """Trails of no edge: (a, names, steps)."""
+    return graph.nodes.where(F.col("name").isin(list(dict.fromkeys(seeds)))).select(F.col("uuid").alias("a"), F.array("name").alias("names"), F.array().cast(f"array<{STEP}>").alias("steps"))
+
+
+def _grown(at: DataFrame, half: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Trails one edge longer, no edge twice. The trails are the small side until hubs have multiplied them, and then hubs are many edges of one node: both meet on the node."""
+    onward = at.join(half, "a").where(~F.exists("steps", lambda s: s["eid"] == F.col("eid")))
+    named = onward.join(nodes.select(F.col("uuid").alias("b"), F.col("name").alias("b_name"), F.nullif(F.col("summary"), F.lit("")).alias("b_summary")), "b")
+    fact = F.coalesce(F.nullif(F.col("fact"), F.lit("")), F.col("b_summary"))
+    return named.select(F.col("b").alias("a"), F.concat("names", F.array("b_name")).alias("names"), F.concat("steps", F.array(F.struct("eid", "edge_type", fact.alias("fact")).cast(STEP))).alias("steps"))
+
+
+def trails(graph: Graph, seeds: list[str], max_hops: int, live_only: bool = False, edge_types: list[str] | None = None) -> DataFrame:
+    """All trails of 1 to ``max_hops`` edges from nodes named as a seed: names (array), steps (array of eid, edge_type, fact).
+
+    live_only and edge_types restrict the edges; by default none is left out.
+    """
+    half, at, found = _half_edges(graph, live_only, edge_types), _seeded(graph, seeds), None
     for _ in range(max_hops):
-        onward = at.join(half, "a").where(~F.exists("steps", lambda s: s["eid"] == F.col("eid"))).join(nodes, "b")
-        fact = F.coalesce(F.nullif(F.col("fact"), F.lit("")), F.col("b_summary"))
-        at = onward.select(F.col("b").alias("a"), F.concat("names", F.array("b_name")).alias("names"), F.concat("steps", F.array(F.struct("eid", "edge_type", fact.alias("fact")).cast(step))).alias("steps"))
+        at = _grown(at, half, graph.nodes)
         found = at if found is None else found.unionByName(at)
     return found.select("names", "steps")
 
 
+def found_facts(graph: Graph, seeds: list[str], max_hops: int, live_only: bool = False, edge_types: list[str] | None = None, cap: int = MAX_FACTS) -> DataFrame:
+    """The rows of ``trail_facts`` over all trails, found hop by hop: as hop is the first key of their order, the search ends when a hop has filled the cap.
+
+    The frontier of a hop is written once, and only nodes and edges at its ends are read on.
+    """
+    half, at, found, left = _half_edges(graph, live_only, edge_types), _seeded(graph, seeds), None, cap
+    for hop in range(1, max_hops + 1):
+        grown = _grown(at, half, graph.nodes)
+        if hop == max_hops:
+            last = trail_facts(grown, left)
+            return last if found is None else found.unionByName(last)
+        at = staged(grown, "frontier")
+        rows = staged(trail_facts(at, left), "facts")
+        found = rows if found is None else found.unionByName(rows)
+        left -= rows.count()
+        if left <= 0:
+            break
+    return found
+
+
 def first_line(text: Column) -> Column:
     """The first line of a text that isn't blank, without outer blanks; null if there is none."""
     lines = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
@@ -133,5 +169,5 @@ def rerank(rows: DataFrame, lam: float, limit: int, min_cosine: float | None = N
 
 def search_graph(graph: Graph, vectors: DataFrame, request: SearchRequest, query: list[float]) -> DataFrame:
     """A whole traversal search: trails, facts, scores, floor, order, limit."""
-    facts = trail_facts(trails(graph, request.seeds, request.max_hops, request.live_only, request.edge_types))
+    facts = found_facts(graph, request.seeds, request.max_hops, request.live_only, request.edge_types)
     return rerank(scored(facts, vectors, query), request.rerank_lambda, request.limit, request.min_cosine)
