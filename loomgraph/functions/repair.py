@@ -181,3 +181,9 @@ def with_repairs(rows: DataFrame, schema: str = "schema_name", payload: str = "p
     out = rows.withColumn("repaired_json", repaired(F.col(schema), F.col(payload))).withColumn("rule", F.try_element_at(names, F.col(schema)))
     same = F.try_parse_json("repaired_json").cast("string") == F.try_parse_json(payload).cast("string")
     return out.withColumn("state", F.when(F.col("repaired_json").isNull(), "unrepairable").when(F.coalesce(same, F.lit(False)), "kept").otherwise("repaired"))
+
+
+def append_quirks(repairs: DataFrame, path: str, now: str, schema: str = "schema_name", payload: str = "payload_json") -> None:
+    """Appends a JSON line for each repaired row of ``with_repairs``: when, by which rule, and the payload before and after."""
+    changed = repairs.where("state = 'repaired'")
+    changed.select(F.lit(now).alias("at"), "rule", F.col(schema).alias("schema"), F.col(payload).alias("before"), F.col("repaired_json").alias("after")).write.mode("append").json(path)

@@ -38,10 +38,27 @@ def blocked_keyword(statement: str) -> str | None:
     return next((k for k in BLOCKED if re.search(rf"\b{k}\b", statement, re.IGNORECASE)), None)
 
 
+def _changes(spark: SparkSession, statement: str) -> str | None:
+    """The first step of a statement's parsed plan that isn't a query's."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    load = lambda name: spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(logical + name)
+    refused = [load("Command"), load("ParsedStatement")]
+    open_ = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    while open_:
+        plan = open_.pop()
+        if any(kind.isInstance(plan) for kind in refused):
+            return plan.nodeName()
+        for part in (plan.children(), plan.innerChildren()):
+            open_ += [x for x in (part.apply(i) for i in range(part.size())) if hasattr(x, "nodeName") and load("LogicalPlan").isInstance(x)]
+    return None
+
+
 def read_only_sql(spark: SparkSession, statement: str, args: dict | None = None) -> DataFrame:
     """A query on the session's views; anything that isn't a query is refused before it runs."""
     if word := blocked_keyword(statement):
         raise PermissionError(f"read only: {word} is not allowed")
     if not re.match(r"\s*(SELECT|WITH|VALUES|FROM|TABLE)\b", statement, re.IGNORECASE):
         raise PermissionError("read only: a query is expected")
+    if changed := _changes(spark, statement):
+        raise PermissionError(f"read only: {changed} is not allowed")
     return spark.sql(statement, args=args or {})

@@ -12,8 +12,8 @@ QUERY, QUERY_ID = "rollback of the parser took snapshots", 3
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[float]]:
-    rows = table(spark, sf_dir, "embedding_result").groupBy("result_id").agg(F.max("text").alias("fact"), F.max("embedding").alias("e"))
-    facts = rows.where(F.col("fact").isNotNull()).select(F.col("result_id").alias("eid"), "fact", F.when(F.pmod("result_id", F.lit(11)) == 0, F.lit("2026-01-01")).alias("invalid_at"))
+    rows = table(spark, sf_dir, "embedding_result").groupBy("result_id").agg(F.max("text").alias("fact"), F.max("embedding").alias("e"), F.max("error").alias("error"))
+    facts = rows.where(F.col("fact").isNotNull()).select(F.col("result_id").alias("eid"), "fact", F.when(F.col("error").isNotNull(), F.lit("2026-01-01")).alias("invalid_at"))
     usable = F.when(F.forall("e", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("e") == 64), F.col("e"))
     vectors = rows.select(F.col("result_id").alias("eid"), usable.alias("fact_embedding")).where(F.col("fact_embedding").isNotNull())
     asked = vectors.orderBy(F.abs(F.col("eid") - QUERY_ID), "eid").first()
@@ -79,8 +79,8 @@ def v16_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (v1_cosine, v7_vector, v8_lexical, v9_mmr, v10_rrf, v12_gate, v14_diagnostics, v16_cache)}
 
-_BASE = f"""WITH r AS (SELECT result_id eid, max(text) fact, max(embedding) e FROM embedding_result GROUP BY 1),
-f AS (SELECT eid, fact, eid % 11 = 0 dead FROM r WHERE fact IS NOT NULL),
+_BASE = f"""WITH r AS (SELECT result_id eid, max(text) fact, max(embedding) e, max(error) err FROM embedding_result GROUP BY 1),
+f AS (SELECT eid, fact, err IS NOT NULL dead FROM r WHERE fact IS NOT NULL),
 v AS (SELECT eid, CAST(e AS DOUBLE[]) e FROM r WHERE len(e) = 64 AND len(list_filter(e, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0),
 q AS (SELECT e FROM v ORDER BY abs(eid - {QUERY_ID}), eid LIMIT 1),
 cs AS (SELECT eid, e, round(coalesce(CASE WHEN list_inner_product(e, e) > 0 AND (SELECT list_inner_product(e, e) FROM q) > 0 THEN list_inner_product(e, (SELECT e FROM q)) / (sqrt(list_inner_product(e, e)) * sqrt((SELECT list_inner_product(e, e) FROM q))) END, 0), 9) score FROM v),
@@ -98,8 +98,8 @@ st AS (SELECT count(*) docs, avg(n) mean, {', '.join(f'count(*) FILTER (t{i} > 0
 la AS (SELECT eid, round({' + '.join(weight(i) for i in range(len(_TERMS)))}, 9) score FROM tf, st WHERE {' + '.join(f't{i}' for i in range(len(_TERMS)))} > 0)"""
 
 
-def _fused(limit: int) -> str:
-    return f"rk AS (SELECT eid, row_number() OVER (ORDER BY score DESC, eid) - 1 k FROM (SELECT * FROM la ORDER BY score DESC, eid LIMIT {limit}) UNION ALL SELECT eid, row_number() OVER (ORDER BY score DESC, eid) - 1 FROM (SELECT * FROM va ORDER BY score DESC, eid LIMIT {limit})), rf AS (SELECT eid, round(sum(1 / (k + 1)), 9) score FROM rk GROUP BY 1)"
+def _fused(limit: int, arm: str = "va") -> str:
+    return f"rk AS (SELECT eid, row_number() OVER (ORDER BY score DESC, eid) - 1 k FROM (SELECT * FROM la ORDER BY score DESC, eid LIMIT {limit}) UNION ALL SELECT eid, row_number() OVER (ORDER BY score DESC, eid) - 1 FROM (SELECT * FROM {arm} ORDER BY score DESC, eid LIMIT {limit})), rf AS (SELECT eid, round(sum(1 / (k + 1)), 9) score FROM rk GROUP BY 1)"
 
 
 ORACLES = {
@@ -108,6 +108,7 @@ ORACLES = {
     "v8_lexical": _BASE + f", {_bm25('NOT dead')} SELECT eid, round(score, 6) score FROM (SELECT * FROM la ORDER BY score DESC, eid LIMIT 20)",
     "v9_mmr": _BASE + ", c AS (SELECT * FROM cs WHERE eid IN (SELECT eid FROM va ORDER BY score DESC, eid LIMIT 30)), m AS (SELECT a.eid, any_value(a.score) s, max(list_cosine_similarity(a.e, b.e)) x FROM c a JOIN c b ON a.eid <> b.eid GROUP BY 1) SELECT eid, round(score, 6) score FROM (SELECT eid, round(0.5 * s - 0.5 * x, 9) score FROM m ORDER BY score DESC, eid LIMIT 10)",
     "v10_rrf": _BASE + f", {_bm25('true')}, {_fused(20)} SELECT eid, round(score, 6) score FROM (SELECT * FROM rf ORDER BY score DESC, eid LIMIT 10)",
+    "v12_gate": _BASE + f", {_bm25('NOT dead')}, live AS (SELECT * FROM va WHERE eid IN (SELECT eid FROM f WHERE NOT dead)), {_fused(40, 'live')}, top AS (SELECT * FROM rf ORDER BY score DESC, eid LIMIT 20) SELECT eid, round(top.score, 6) score FROM top JOIN cs USING (eid) WHERE cs.score >= 0.5 ORDER BY top.score DESC, eid LIMIT 10",
     "v16_cache": "SELECT count(*) asked, count(*) FILTER (NOT h) misses, count(DISTINCT d) FILTER (NOT h) to_embed, round((count(*) - count(*) FILTER (NOT h)) / count(*), 6) hit_rate FROM (SELECT sha256(text) d, bool_or(embedding IS NOT NULL) OVER (PARTITION BY text) h FROM embedding_result WHERE text IS NOT NULL)",
     "v14_diagnostics": _BASE + f", {_bm25('true')}, {_fused(40)}, top AS (SELECT * FROM rf ORDER BY score DESC, eid LIMIT 40) SELECT count(*) candidates, count(*) FILTER (coalesce(cs.score >= 0.5, false)) returned, count(*) FILTER (NOT coalesce(cs.score >= 0.5, false)) dropped FROM top LEFT JOIN cs USING (eid)",
 }

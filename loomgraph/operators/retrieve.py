@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.functions.text import WORD
@@ -37,6 +38,24 @@ def search_bounds(query: str, limit: object = 5) -> tuple[str, int]:
     return text, limit
 
 
+# Codes of failed searches (our names).
+NO_BACKEND, TIMED_OUT, BAD_QUERY, INTERNAL = "BACKEND_DISCONNECTED", "BACKEND_TIMEOUT", "INVALID_QUERY", "INTERNAL_ERROR"
+
+
+def error_code(error: BaseException) -> str:
+    """The code of a failed search: the query's own fault, a backend that is away or too slow, or anything else."""
+    if isinstance(error, (AnalysisException, ParseException)):
+        return BAD_QUERY
+    if isinstance(error, TimeoutError):
+        return TIMED_OUT
+    return NO_BACKEND if isinstance(error, (ConnectionError, OSError)) else INTERNAL
+
+
+def query_text(query: str | None, seeds: Sequence[str] = (), facts: Sequence[str] = ()) -> str:
+    """The query, or what stands for a missing one: the first seed of a request, else the first fact found, else nothing."""
+    return query if query and query.strip() else next(iter([*seeds, *facts]), "")
+
+
 def lexical_arm(facts: DataFrame, query: str, limit: int) -> DataFrame:
     """(eid, score) of the best facts (eid, fact) by BM25 over words; no least score."""
     asked = sorted(set(_terms(query)))

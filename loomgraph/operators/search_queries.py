@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomgraph.operators.catalog import blocked_keyword, get_entity, list_entities
 from loomgraph.operators.traverse import SCORED_FACTS, TRAIL_ORDER, found_facts, rerank, scored, search_request, seeds_found, trails
 from loomgraph.plans.staging import staged
-from loomgraph.sources.graph import TRADE_SQL, Graph, trade_graph
+from loomgraph.operators.consolidation_queries import _W
+from loomgraph.sources.graph import TRADE_SQL, Graph, memory_graph, trade_graph
+from loomgraph.streaming.ingest import over_rate
 from loomgraph.sources.tables import table
 
 #: Seeds of the queries; the last one names no node.
@@ -41,6 +43,29 @@ def g7_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found_facts(trade_graph(spark, sf_dir), SEEDS, 2))
 
 
+def _mention_graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, str]:
+    """Entities and episodes tied by mentions, and the name of the most mentioned entity."""
+    memory = memory_graph(spark, sf_dir)
+    nodes = staged(memory.entity.select("uuid", "name", "summary").unionByName(memory.episodic.select("uuid", "name", F.col("content").alias("summary"))), "nodes")
+    edges = staged(memory.mentions.select(F.col("uuid").alias("eid"), F.col("src_uuid").alias("src"), F.col("dst_uuid").alias("dst"), F.lit("MENTIONS").alias("edge_type"), F.lit(None).cast("string").alias("fact"), F.lit(None).cast("timestamp").alias("invalid_at")), "edges")
+    often = edges.groupBy(F.col("dst").alias("uuid")).agg(F.count(F.lit(1)).alias("n")).join(memory.entity.where("name is not null").select("uuid", "name"), "uuid")
+    first = often.orderBy(F.col("n").desc(), "uuid").first()
+    return Graph(nodes, edges), first["name"] if first else ""
+
+
+def g2_mention_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails of up to two mentions from the most mentioned name, counted by hop and the name at their end."""
+    graph, seed = _mention_graph(spark, sf_dir)
+    found = trails(graph, [seed], 2)
+    return found.select(F.size("steps").alias("hop"), F.element_at("names", -1).alias("target")).groupBy("hop", "target").agg(F.count(F.lit(1)).alias("trails"))
+
+
+def t5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by whether their user had more than two in the hour up to them."""
+    over = over_rate(table(spark, sf_dir, "events"), "user_id", "ts", 3600, 2)
+    return over.groupBy("user_id").agg(F.count_if("over").alias("too_many"), F.count(F.lit(1)).alias("n"))
+
+
 def g3_live_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hop over live edges only."""
     return _shown(found_facts(trade_graph(spark, sf_dir), SEEDS, 1, live_only=True))
@@ -100,7 +125,7 @@ def pred14_read_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "g2_trails": g2_trails, "g3_live_facts": g3_live_facts, "g7_facts": g7_facts, "g10_typed_facts": g10_typed_facts, "g12_degraded": g12_degraded, "g13_get_entity": g13_get_entity, "g14_list_entities": g14_list_entities, "g14_list_suppliers": g14_list_suppliers,
+    "g2_trails": g2_trails, "g2_mention_trails": g2_mention_trails, "t5_rates": t5_rates, "g3_live_facts": g3_live_facts, "g7_facts": g7_facts, "g10_typed_facts": g10_typed_facts, "g12_degraded": g12_degraded, "g13_get_entity": g13_get_entity, "g14_list_entities": g14_list_entities, "g14_list_suppliers": g14_list_suppliers,
     "v3_search_mixed": _search(0.7), "v4_search_by_hop": _search(0.0), "v5_search_by_cosine": _search(1.0), "pred10_search_floor": _search(0.7, 0.1), "s7_seed_probe": s7_seed_probe, "pred14_read_only": pred14_read_only,
 }
 
@@ -140,6 +165,11 @@ _ENDS = "ends AS (SELECT eid, coalesce(edge_type, 'RELATES_TO') rel, src uuid, d
 _LIST = "SELECT name, CAST(count(e.eid) AS BIGINT) degree FROM nodes n LEFT JOIN ends e ON e.uuid = n.uuid {0} GROUP BY name ORDER BY degree DESC, name LIMIT {1}"
 ORACLES = {
     "g2_trails": _trails_sql() + "SELECT nm[1] seed, CAST(len(es) AS INTEGER) hop, count(*) trails FROM trails GROUP BY 1, 2",
+    "g2_mention_trails": _W + """, nn AS (SELECT uuid, name FROM en UNION ALL SELECT uuid, name FROM ep), hf AS (SELECT src_uuid a, dst_uuid b, uuid eid FROM me UNION ALL SELECT dst_uuid, src_uuid, uuid FROM me WHERE src_uuid <> dst_uuid),
+sd AS (SELECT name FROM (SELECT dst_uuid, count(*) n FROM me GROUP BY 1) JOIN en ON en.uuid = dst_uuid WHERE name IS NOT NULL ORDER BY n DESC, dst_uuid LIMIT 1), st AS (SELECT uuid FROM nn WHERE name = (SELECT name FROM sd)),
+o1 AS (SELECT x.b, x.eid, n.name FROM st JOIN hf x ON x.a = st.uuid JOIN nn n ON n.uuid = x.b)
+SELECT 1 hop, name target, count(*) trails FROM o1 GROUP BY name UNION ALL SELECT 2, n.name, count(*) FROM o1 JOIN hf y ON y.a = o1.b AND y.eid <> o1.eid JOIN nn n ON n.uuid = y.b GROUP BY n.name""",
+    "t5_rates": "SELECT user_id, count(*) FILTER (c > 2) too_many, count(*) n FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)::BIGINT // 1000000 RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) c FROM events) GROUP BY 1",
     "g3_live_facts": _trails_sql("invalid_at IS NULL", 1) + f"SELECT {_COLS} FROM facts",
     "g7_facts": _trails_sql() + f"SELECT {_COLS} FROM facts",
     "g10_typed_facts": _trails_sql("coalesce(edge_type, 'RELATES_TO') = 'RELATES_TO'", 1) + f"SELECT {_COLS} FROM facts",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Severities and their weights.
@@ -40,3 +43,20 @@ def shown(event: Column, form: str) -> Column:
     """An event (struct) as text: json, raw, summary or pretty."""
     head = F.concat(F.lit("["), F.upper(event["severity"]), F.lit("] "), event["kind"], F.lit(": "), event["summary"])
     return {"json": F.to_json(event), "raw": F.coalesce(event["details"], event["summary"]), "summary": event["summary"], "pretty": head}[form]
+
+
+def dispatched(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
+    """Hands events to all sinks at once; one that fails doesn't keep them from the others. Gives 'ok' or the error by sink.
+
+    As a foreachBatch function it serves a stream: ``lambda batch, _: dispatched(batch, sinks)``.
+    """
+
+    def run(sink: Callable[[DataFrame], None]) -> str:
+        try:
+            sink(events)
+            return "ok"
+        except Exception as e:  # told to the caller, by sink
+            return f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max(1, len(sinks))) as pool:
+        return dict(zip(sinks, pool.map(run, sinks.values())))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import queue as Q
@@ -35,19 +35,19 @@ def shaped(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def enqueue_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: str, mode: str, now: str) -> None:
-    """Gates a batch (id, payload_json, claimed_by, seq) and publishes episodes and ledger; a batch seen before changes nothing."""
+def enqueue_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, mode: str, now: str, stream: str = "enqueue") -> None:
+    """Gates a stream's batch (id, payload_json, claimed_by, seq) and publishes episodes and ledger; a batch seen before changes nothing."""
     episodes, ledger = VersionedTable(spark, f"{root}/episodes"), VersionedTable(spark, f"{root}/ledger")
     before = current(episodes, EPISODES)
     known = batch.join(before.select("id"), "id", "left_anti")  # a replayed batch's rows are there already
     rows, events = (staged(d, "gated") for d in Q.gate_enqueue(before, staged(known, "batch"), mode, now))
-    ledger.publish(current(ledger, LEDGER).unionByName(shaped(events, LEDGER)), batch_id)
-    episodes.publish(before.unionByName(shaped(rows, EPISODES)), batch_id)
+    ledger.publish(current(ledger, LEDGER).unionByName(shaped(events, LEDGER)), stream, number)
+    episodes.publish(before.unionByName(shaped(rows, EPISODES)), stream, number)
 
 
 def ingest(stream: DataFrame, root: str, checkpoint: str, mode: str, clock: Callable[[], str]) -> StreamingQuery:
     """Starts the gated enqueue of a stream of arrivals; it stops when what is there has been read."""
-    run = lambda batch, number: enqueue_batch(batch.sparkSession, root, batch, f"enqueue-{number}", mode, clock())
+    run = lambda batch, number: enqueue_batch(batch.sparkSession, root, batch, number, mode, clock())
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -55,9 +55,14 @@ def sweep(spark: SparkSession, root: str, work: Callable[[DataFrame], DataFrame]
     """One sweep: reap stuck rows, claim the next, work on them, set their states, publish.
 
     work gives (id, error_class, message) of the claimed rows, error_class null for success. A failure is retried or goes
-    to the dead letters as retry_decision says. Gives counts.
+    to the dead letters as retry_decision says. Gives counts. Both tables get the sweep's number: letters of a sweep that
+    died before its episodes were published are taken back first.
     """
     table, dead = VersionedTable(spark, f"{root}/episodes"), VersionedTable(spark, f"{root}/dead_letter")
+    number = (table.last("sweep") or 0) + 1
+    if (dead.last("sweep") or 0) >= number:
+        before = [v for v in dead.manifests() if (dead.manifest(v)["streams"].get("sweep") or [0])[0] < number]
+        dead.roll_back(before[-1]) if before else dead.publish(dead.read().limit(0))
     episodes, letters = current(table, EPISODES), current(dead, LETTERS)
     reaped = staged(Q.reap_stuck(episodes, now, timeout_sec, max_attempts), "reaped")
     episodes = Q.replaced(episodes, reaped, "id")
@@ -73,8 +78,8 @@ def sweep(spark: SparkSession, root: str, work: Callable[[DataFrame], DataFrame]
     ended, opened = Q.mark_aborted(failed.where(fate == "dead"), text, now)
     new = staged(done.unionByName(again).unionByName(ended.select(*episodes.columns)), "new")
     letters = Q.replaced(Q.replaced(letters, shaped(closed, LETTERS), "episode_id"), shaped(opened, LETTERS), "episode_id")
-    dead.publish(letters)
-    table.publish(Q.replaced(episodes, new, "id"))
+    dead.publish(letters, "sweep", number)
+    table.publish(Q.replaced(episodes, new, "id"), "sweep", number)
     counts = {r["status"]: r["n"] for r in new.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {"reaped": reaped.count(), "processed": sum(counts.values()), "succeeded": counts.get("done", 0), "failed": counts.get("failed", 0), "dead": counts.get("aborted", 0)}
 
@@ -82,3 +87,9 @@ def sweep(spark: SparkSession, root: str, work: Callable[[DataFrame], DataFrame]
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by kind and window; on a stream, rows later than ``late`` are not counted. An addition to the reference's scope."""
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+
+
+def over_rate(events: DataFrame, who: str, time: str, seconds: int, most: int) -> DataFrame:
+    """Events with ``over``: whether ``who`` had more than ``most`` in the ``seconds`` up to and including the event's second."""
+    recent = Window.partitionBy(who).orderBy(F.unix_seconds(F.col(time).cast("timestamp"))).rangeBetween(1 - seconds, 0)
+    return events.withColumn("over", F.count(F.lit(1)).over(recent) > most)

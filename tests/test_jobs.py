@@ -3,12 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions.repair import repair_json, rule_for
+from loomgraph.functions.repair import append_quirks, repair_json, rule_for, with_repairs
 from loomgraph.operators.dream import dream
 from loomgraph.plans.skew import spread_join
 from loomgraph.plans.versions import VersionedTable
 from loomgraph.sources.graph import MemoryGraph
-from loomgraph.sources.reports import last_reports, read_reports, severity_at_least, write_reports
+from loomgraph.sources.reports import dispatched, last_reports, read_reports, severity_at_least, write_reports
 from loomgraph.streaming.ingest import EPISODES, LEDGER, LETTERS, current, enqueue_batch, ingest, sweep, windowed_counts
 from tests.conftest import rows_of
 
@@ -48,9 +48,11 @@ def test_more_repairs():
 def test_versions(spark, tmp_path):
     t = VersionedTable(spark, f"file://{tmp_path}/t")
     assert t.read() is None and t.manifests() == []
-    assert t.publish(spark.range(2), "b1") == 1 and t.publish(spark.range(9), "b1") == 1 and t.publish(spark.range(3), "b2") == 2
+    assert t.publish(spark.range(2), "b", 1) == 1 and t.publish(spark.range(9), "b", 1) == 1 and t.publish(spark.range(3), "b", 2) == 2
+    assert t.publish(spark.range(9), "b", 0) == 2  # however old a batch is, it isn't published again
     assert t.read().count() == 3 and t.read(1).count() == 2
-    assert t.roll_back(1) == 3 and t.read().count() == 2
+    assert t.roll_back(1) == 3 and t.read().count() == 2 and t.last("b") == 1
+    assert t.summary("id") == t.summary("id", 1) != t.summary("id", 2) and t.summary("id")["counts"] == {0: 1, 1: 1}
     with pytest.raises(ValueError):
         t.roll_back(9)
 
@@ -65,7 +67,7 @@ def test_ingest_and_sweep(spark, tmp_path):
     assert run()
     assert rows_of(current(VersionedTable(spark, f"{root}/episodes"), EPISODES).select("id", "status")) == [("e1", "queued"), ("e3", "queued"), ("e4", "queued")]
     assert current(VersionedTable(spark, f"{root}/ledger"), LEDGER).count() == 1
-    enqueue_batch(spark, root, spark.createDataFrame(rows, schema), "enqueue-0", "enforce", NOW)  # a replayed batch
+    enqueue_batch(spark, root, spark.createDataFrame(rows, schema), 0, "enforce", NOW)  # a replayed batch
     assert current(VersionedTable(spark, f"{root}/episodes"), EPISODES).count() == 3
 
     def work(claimed):
@@ -73,7 +75,11 @@ def test_ingest_and_sweep(spark, tmp_path):
 
     assert sweep(spark, root, work, NOW) == {"reaped": 0, "processed": 3, "succeeded": 1, "failed": 1, "dead": 1}
     assert rows_of(current(VersionedTable(spark, f"{root}/episodes"), EPISODES).select("id", "status", "attempt_count", "last_error")) == [("e1", "done", 0, None), ("e3", "failed", 1, "TimeoutError: <no message>"), ("e4", "aborted", 1, "KeyError: <no message>")]
-    assert rows_of(current(VersionedTable(spark, f"{root}/dead_letter"), LETTERS).select("episode_id", "recovered_at")) == [("e4", None)]
+    dead = VersionedTable(spark, f"{root}/dead_letter")
+    assert rows_of(current(dead, LETTERS).select("episode_id", "recovered_at")) == [("e4", None)]
+    dead.publish(dead.read().limit(0), "sweep", 2)  # a sweep that died before it published its episodes
+    sweep(spark, root, work, NOW)
+    assert rows_of(current(dead, LETTERS).select("episode_id", "recovered_at")) == [("e4", None)]
 
 
 def test_windows_on_a_stream(spark, small, tmp_path):
@@ -126,3 +132,20 @@ def test_spread_join_keeps_hot_keys_whole(spark):
     once = spark.createDataFrame([(1, "hot"), (800, "cold"), (None, "null")], "k long, v string")
     for how in ("inner", "left"):
         assert rows_of(spread_join(many, once, "k", how, hot_rows=50).select("id", "v")) == rows_of(many.join(once, "k", how).select("id", "v"))
+
+
+def test_sinks_are_isolated(spark, tmp_path):
+    events = spark.createDataFrame([("k", "info", "s", None, NOW)], "kind string, severity string, summary string, details string, timestamp string")
+
+    def broken(_):
+        raise ConnectionError("away")
+
+    said = dispatched(events, {"file": lambda e: write_reports(e, f"file://{tmp_path}/r"), "hook": broken})
+    assert said == {"file": "ok", "hook": "ConnectionError: away"} and read_reports(spark, f"file://{tmp_path}/r").count() == 1
+
+
+def test_quirks_are_appended(spark, tmp_path):
+    rows = with_repairs(spark.createDataFrame([("ExtractedEdges", '{"relations":[]}'), ("ExtractedEdges", '{"edges":[]}'), ("x", "{}")], "schema_name string, payload_json string"))
+    for _ in range(2):
+        append_quirks(rows, f"file://{tmp_path}/q", NOW)
+    assert rows_of(spark.read.json(f"file://{tmp_path}/q").select("rule", "before", "after")) == [("extracted_edges", '{"relations":[]}', '{"edges":[]}')] * 2

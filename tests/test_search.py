@@ -1,9 +1,11 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vector import cosine, jaccard
 from loomgraph.operators import retrieve as R
 from loomgraph.operators.catalog import blocked_keyword, read_only_sql
+from loomgraph.operators.retrieve import error_code, query_text
 from loomgraph.operators.traverse import first_line, rerank, search_request, trail_facts, trails
 from loomgraph.sources.graph import Graph
 
@@ -93,3 +95,16 @@ def test_read_only(spark):
     for bad in ("DROP TABLE t", "INSERT INTO t VALUES (1)", "show tables"):
         with pytest.raises(PermissionError):
             read_only_sql(spark, bad)
+
+
+def test_read_only_looks_at_the_plan(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert read_only_sql(spark, "WITH t AS (SELECT id FROM three) SELECT max(id) m FROM t WHERE id < :n", {"n": 2}).first()["m"] == 1
+    for statement in ("FROM three INSERT INTO t SELECT *", "SHOW TABLES", "DROP TABLE three", "WITH t AS (SELECT 1) INSERT INTO three SELECT * FROM t"):
+        with pytest.raises(PermissionError):
+            read_only_sql(spark, statement)
+
+
+def test_errors_and_missing_queries():
+    assert [error_code(e) for e in (TimeoutError(), ConnectionError(), KeyError(), AnalysisException("x"))] == ["BACKEND_TIMEOUT", "BACKEND_DISCONNECTED", "INTERNAL_ERROR", "INVALID_QUERY"]
+    assert [query_text(*a) for a in (("q", ["s"]), (" ", ["s"]), (None, [], ["f"]), (None,))] == ["q", "s", "f", ""]
