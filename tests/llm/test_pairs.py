@@ -166,6 +166,32 @@ def test_regions_and_blocks_lose_nothing_that_the_plan_finds(spark, monkeypatch,
     assert len(got & want) / len(want) > 0.95
 
 
+def test_disk_does_not_grow_with_tables_and_probes(spark):
+    x = np.random.default_rng(8).standard_normal((3000, 64)).astype(np.float32)
+    made = [knn._directions(np.eye(64), np.eye(64), 8, t, 17) for t in range(8)]
+    plan = knn.HashPlan([a for a, _ in made], [b for _, b in made], knn.probe_sets(8, 60), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<float>")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        each = sc.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before = shuffled()
+    knn.nearest(df, "i", "v", 64, 10, plan).write.format("noop").mode("overwrite").save()
+    assert shuffled() - before < 2 * x.nbytes
+
+
+@pytest.mark.parametrize("size", [7, 100, 1000])
+def test_blocks_are_all_rows_once(spark, tmp_path, size):
+    spark.range(230, numPartitions=3).selectExpr("id cid", "array(cast(id as float), 1f) vec").write.parquet(f"{tmp_path}/t")
+    for first, last in ((0, None), (50, 171)):
+        parts = list(knn._blocks(f"file://{tmp_path}/t", size, first, last))
+        assert [p[0] for p in parts] == list(range(first, last or 230, size)) and np.concatenate([p[1] for p in parts]).tolist() == list(range(first, last or 230))
+        assert all(p[1].tolist() == p[2][:, 0].tolist() and len(p[1]) <= size for p in parts)
+
+
 def test_more_vectors_get_more_functions():
     x = vectors(3000, 4)
     near = [x[[j for i2, j in brute(x[:600], 5) if i2 == i]] for i in range(100)]
